@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kontor.llm import bpe
+from kontor.llm import bpe, langid, mixing, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_simhash": simhash.op6_simhash,
+    "op7_mixing": mixing.op7_mixing,
+    "op8_language": langid.op8_language,
     "op9_byte_bpe": bpe.op9_byte_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_mixing": mixing.OP7_SQL,
+}
