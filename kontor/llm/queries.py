@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kontor.llm import bpe, langid, mixing, simhash
+from kontor.llm import bpe, dac, langid, lengths, mixing, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_token_files": dac.op3_token_files,
     "op6_simhash": simhash.op6_simhash,
     "op7_mixing": mixing.op7_mixing,
     "op8_language": langid.op8_language,
     "op9_byte_bpe": bpe.op9_byte_bpe,
+    "op10_token_counts": lengths.op10_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {
