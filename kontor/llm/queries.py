@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kontor.llm import bpe, dac, langid, lengths, mixing, simhash
+from kontor.llm import bpe, dac, fingerprints, langid, lengths, mixing, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_fingerprints": fingerprints.op1_fingerprints,
     "op3_token_files": dac.op3_token_files,
     "op6_simhash": simhash.op6_simhash,
     "op7_mixing": mixing.op7_mixing,
