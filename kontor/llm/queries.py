@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kontor.llm import bpe, dac, fingerprints, langid, lengths, mixing, simhash
+from kontor.llm import bpe, dac, fingerprints, langid, lengths, mixing, simhash, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
+    "op2_topk": topk.op2_topk,
     "op3_token_files": dac.op3_token_files,
     "op6_simhash": simhash.op6_simhash,
     "op7_mixing": mixing.op7_mixing,
@@ -19,5 +20,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_topk": topk.OP2_SQL,
     "op7_mixing": mixing.OP7_SQL,
 }
