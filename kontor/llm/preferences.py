@@ -1,0 +1,130 @@
+"""Preference formatting (operator 5). DataFrame functions only.
+
+A pair is two conversations on one request, a chosen and a rejected one. The longest prefix of turns that both share is
+rendered once, as the prompt; what follows is rendered as two completions. Each completion has its mask: the spans, in
+code points of the completion, that are trained on, which are the assistant's texts with their end marks.
+
+Scale: the turns of a conversation meet in one shuffle and stay one row, as the rendered conversation has to be one row
+anyway; chosen and rejected meet by pair. Prefix, rendering and masks are array functions within the row.
+
+Defined results: turns are ordered by number, then role, then text, null first; a null role or text renders as empty and equals
+another null, not an empty one; pairs that do not differ have empty completions and no spans; a pair with only one side
+is none; columns other than those named are not read; empty tables give an empty one.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+HEAD, MIDDLE, END = "<|", "|>\n", "<|end|>\n"
+TRAINED = "assistant"
+
+
+def conversations(turns: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """(key, turns array<struct<role, text>>) in order."""
+    rows = F.struct(F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
+    found = turns.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.sort_array(F.collect_list(rows)).alias("turns"))
+    return found.select("key", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
+
+
+def common_turns(a: Column, b: Column) -> Column:
+    """The length of the longest common prefix of two arrays of turns."""
+    longest = F.greatest(F.size(a), F.size(b))
+    same = F.transform(F.sequence(F.lit(1), longest), lambda i: (i <= F.size(a)) & (i <= F.size(b)) & F.get(a, i - 1).eqNullSafe(F.get(b, i - 1)))
+    first = F.array_position(same, F.lit(False)).cast("int")
+    return F.when(longest == 0, 0).when(first == 0, longest).otherwise(first - 1)
+
+
+def _shown(x: Column) -> Column:
+    return F.coalesce(x, F.lit(""))
+
+
+def rendered(turns: Column) -> Column:
+    return F.array_join(F.transform(turns, lambda t: F.concat(F.lit(HEAD), _shown(t["role"]), F.lit(MIDDLE), _shown(t["text"]), F.lit(END))), "")
+
+
+def mask(turns: Column, trained: str = TRAINED) -> Column:
+    """array<struct<start: int, end: int>>: the spans of the rendered turns that are trained on."""
+    span = "struct<start: int, end: int>"
+
+    def step(so_far: Column, t: Column) -> Column:
+        start = so_far["at"] + F.lit(len(HEAD) + len(MIDDLE)) + F.length(_shown(t["role"]))
+        end = start + F.length(_shown(t["text"])) + F.lit(len(END))
+        own = F.when(t["role"] == trained, F.array(F.struct(start.alias("start"), end.alias("end")))).otherwise(F.array().cast(f"array<{span}>"))
+        return F.struct(end.alias("at"), F.concat(so_far["spans"], own).alias("spans"))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{span}>").alias("spans"))
+    return F.aggregate(turns, start, step, lambda done: done["spans"])
+
+
+def formatted(pairs: DataFrame) -> DataFrame:
+    """From (key, chosen, rejected: arrays of turns): key, prompt, prompt_turns, chosen, rejected, chosen_mask, rejected_mask."""
+    both = pairs.withColumn("prompt_turns", common_turns(F.col("chosen"), F.col("rejected")))
+    rest = {side: F.slice(side, F.col("prompt_turns") + 1, F.greatest(F.size(side), F.lit(1))) for side in ("chosen", "rejected")}
+    return both.select(
+        "key",
+        rendered(F.slice("chosen", F.lit(1), F.col("prompt_turns"))).alias("prompt"),
+        "prompt_turns",
+        *(rendered(x).alias(side) for side, x in rest.items()),
+        *(mask(x).alias(f"{side}_mask") for side, x in rest.items()),
+    )
+
+
+def preference_rows(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
+    """Formats the pairs of two tables of turns (conv_id, turn, role, text) that share a conv_id."""
+    a, b = (conversations(x).withColumnRenamed("turns", side) for x, side in ((chosen, "chosen"), (rejected, "rejected")))
+    return formatted(a.join(b, "key"))
+
+
+def swapped_answers(turns: DataFrame) -> DataFrame:
+    """(key, chosen, rejected) of a table without preferences: chosen ends with a conversation's last answer, rejected with that of its neighbour.
+
+    Conversations 2 i and 2 i + 1 are neighbours; a conversation without answer or neighbour's answer gives no pair.
+    """
+    rows = conversations(turns)
+    last = F.size("turns") - F.array_position(F.transform(F.reverse("turns"), lambda t: t["role"].eqNullSafe(F.lit(TRAINED))), F.lit(True)).cast("int") + 1
+    answered = rows.withColumn("last", last).where(F.col("last") <= F.size("turns"))
+    other = answered.select(F.col("key").bitwiseXOR(F.lit(1)).alias("key"), F.get("turns", F.col("last") - 1).alias("answer"))
+    return answered.join(other, "key").select(
+        "key",
+        F.slice("turns", F.lit(1), F.col("last")).alias("chosen"),
+        F.concat(F.slice("turns", F.lit(1), F.col("last") - 1), F.array("answer")).alias("rejected"),
+    )
+
+
+def _spelt(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def op5_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = formatted(swapped_answers(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+    masks = [_spelt(F.col(f"{side}_mask")).alias(f"{side}_mask") for side in ("chosen", "rejected")]
+    return found.select(F.col("key").alias("conv_id"), "prompt", "prompt_turns", "chosen", "rejected", *masks)
+
+
+OP5_SQL = """
+WITH numbered AS (
+  SELECT conv_id, role, text, coalesce(role, '') AS r, coalesce(text, '') AS t,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS n
+  FROM conversations WHERE conv_id IS NOT NULL
+), ends AS (
+  SELECT conv_id, max(n) AS n FROM numbered WHERE role = 'assistant' GROUP BY conv_id
+), answers AS (
+  SELECT e.conv_id, e.n, x.text, x.t FROM ends e JOIN numbered x ON x.conv_id = e.conv_id AND x.n = e.n
+), pairs AS (
+  SELECT a.conv_id, a.n, a.text IS NOT DISTINCT FROM b.text AS same, a.t AS mine, b.t AS other
+  FROM answers a JOIN answers b ON b.conv_id = xor(a.conv_id, 1)
+), prompts AS (
+  SELECT p.conv_id, p.same, p.mine, p.other, CAST(CASE WHEN p.same THEN p.n ELSE p.n - 1 END AS INTEGER) AS prompt_turns,
+         coalesce(string_agg('<|' || x.r || '|>' || chr(10) || x.t || '<|end|>' || chr(10), '' ORDER BY x.n), '') AS prompt
+  FROM pairs p LEFT JOIN numbered x ON x.conv_id = p.conv_id AND (x.n < p.n OR (p.same AND x.n = p.n))
+  GROUP BY ALL
+)
+SELECT conv_id, prompt, prompt_turns,
+       CASE WHEN same THEN '' ELSE '<|assistant|>' || chr(10) || mine || '<|end|>' || chr(10) END AS chosen,
+       CASE WHEN same THEN '' ELSE '<|assistant|>' || chr(10) || other || '<|end|>' || chr(10) END AS rejected,
+       CASE WHEN same THEN '' ELSE '14-' || CAST(22 + length(mine) AS VARCHAR) END AS chosen_mask,
+       CASE WHEN same THEN '' ELSE '14-' || CAST(22 + length(other) AS VARCHAR) END AS rejected_mask
+FROM prompts
+"""
