@@ -20,7 +20,6 @@ other than the key and the text are not read; an empty table gives an empty one.
 from __future__ import annotations
 
 import base64
-import hashlib
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -35,7 +34,7 @@ from pyspark.sql import types as T
 from kontor.llm import pretokens, scratch
 
 #: A block is closed when it holds so many pre-tokens or so many distinct words.
-BLOCK_TOKENS, BLOCK_WORDS = 4_000_000, 250_000
+BLOCK_TOKENS, BLOCK_WORDS = 2_000_000, 200_000
 #: Words (as often as there are blocks that hold them) in each bucket of the shuffle by word, on average.
 BUCKET_WORDS = 200_000
 
@@ -199,7 +198,7 @@ def _assemble(key_name: str, key: pa.DataType):
         out_keys, out_lists = [], []
         for row in blocks.to_pylist():
             n = row["n_words"]
-            sizes, starts = np.zeros(n, np.int64), np.zeros(n, np.int64)
+            sizes, starts = np.zeros(n, np.int32), np.zeros(n, np.int32)
             parts, base = [], 0
             for x in found.to_pylist():
                 at, counts, ids = _unpack(x["at"]), _unpack(x["counts"]).astype(np.int64), _unpack(x["ids"])
@@ -209,11 +208,14 @@ def _assemble(key_name: str, key: pa.DataType):
                 parts.append(ids)
             flat = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
             places, lengths = _unpack(row["places"]), _unpack(row["lengths"])
-            size, start = sizes[places], starts[places]
-            before = np.cumsum(size) - size
-            total = int(size.sum())
-            ids = flat[np.repeat(start - before, size) + np.arange(total)].astype(np.int32)
-            ends = np.concatenate(([0], np.cumsum(size)))[np.concatenate(([0], np.cumsum(lengths, dtype=np.int64)))]
+            size = sizes[places]
+            ends = np.concatenate(([0], np.cumsum(size, dtype=np.int64)))
+            # The place of each id in flat: where its word starts, and then one after the other.
+            kind = np.int32 if ends[-1] < 1 << 31 else np.int64
+            at = np.repeat((starts[places] - ends[:-1]).astype(kind), size)
+            at += np.arange(len(at), dtype=kind)
+            ids = flat[at].view(np.int32)
+            ends = ends[np.concatenate(([0], np.cumsum(lengths, dtype=np.int64)))]
             out_keys.append(pa.array(row["keys"], key))
             out_lists.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids)))
         names = [key_name, "token_ids"]
@@ -256,15 +258,22 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary:
     return left.cogroup(found.groupBy("at_block")).applyInArrow(_assemble(key, arrow), out)
 
 
-def _bytes_of(vocabulary: str):
+def _bytes_of(vocabulary: str) -> list[bytes]:
     table: list[bytes] = [b""] * (1 + max(ranks(vocabulary).values()))
     for token, rank in ranks(vocabulary).items():
         table[rank] = token
     return table
 
 
+def _lists(column: pa.ListArray) -> Iterator[list[int] | None]:
+    """The lists of a column, one at a time."""
+    values, ends = column.values.to_numpy(), column.offsets.to_numpy()
+    for i, valid in enumerate(column.is_valid().to_pylist()):
+        yield values[ends[i] : ends[i + 1]].tolist() if valid else None
+
+
 def decode(encoded: DataFrame, ids: str = "token_ids", to: str = "decoded", vocabulary: str | None = None) -> DataFrame:
-    """`encoded` with the bytes that its ids stand for: the join with the token-byte table, kept in order."""
+    """`encoded` with the bytes that its ids stand for: the join with the token-byte table, kept in order. Null stays null."""
     vocabulary = vocabulary or vocabulary_path()
     at = encoded.columns.index(ids)
     schema = T.StructType([f for f in encoded.schema if f.name != to] + [T.StructField(to, T.BinaryType())])
@@ -272,7 +281,7 @@ def decode(encoded: DataFrame, ids: str = "token_ids", to: str = "decoded", voca
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = _bytes_of(vocabulary).__getitem__
         for batch in batches:
-            made = [None if x is None else b"".join(map(token, x)) for x in batch.column(at).to_pylist()]
+            made = [None if x is None else b"".join(map(token, x)) for x in _lists(batch.column(at))]
             kept = [(c, f) for c, f in zip(batch.columns, batch.schema) if f.name != to]
             yield pa.RecordBatch.from_arrays([*(c for c, _ in kept), pa.array(made, pa.binary())], names=[*(f.name for _, f in kept), to])
 
@@ -281,17 +290,13 @@ def decode(encoded: DataFrame, ids: str = "token_ids", to: str = "decoded", voca
 
 def digests(encoded: DataFrame, key: str = "doc_id") -> DataFrame:
     """What the registered query returns of (key, token_ids, decoded)."""
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(1).to_pylist()
-            spelt = [hashlib.sha256(" ".join(map(str, x)).encode()).hexdigest() for x in lists]
-            back = [hashlib.sha256(x).hexdigest() for x in batch.column(2).to_pylist()]
-            columns = [batch.column(0), pa.array(map(len, lists), pa.int64()), pa.array(spelt, pa.string()), pa.array(back, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    schema = T.StructType([encoded.schema[key], *(T.StructField(c, t) for c, t in (("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())))])
-    return encoded.select(key, "token_ids", "decoded").mapInArrow(digest, schema)
+    spelt = F.concat_ws(" ", F.col("token_ids").cast("array<string>"))
+    return encoded.select(
+        key,
+        F.size("token_ids").cast("long").alias("n_tokens"),
+        F.sha2(spelt, 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
