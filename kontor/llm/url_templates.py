@@ -4,15 +4,15 @@ Given rules decide first. For every other URL, the tree of its host does. Paths
 hexadecimal strings are variable by form); level by level, a node with many children gives up its rare ones for a
 wildcard. Templates under one parent whose labelled rates differ by less than chance would make them are merged into one
 branch. A branch's purity is its labelled rate of bad pages, smoothed by the whole table's rate; a template is rejected
-when its branch's purity reaches LIMIT.
+when its branch has LEAST labels or more and its purity reaches LIMIT.
 
 Scale: pages are combined to one row for each host and shape, in the map first, so that a host with a third of all pages
 is as many rows as it has shapes. The tree grows over that table by joins on (host, prefix), one round for each level,
 through written tables whose joins adaptive execution can split. Children that stay apart are bounded by CHILDREN and
 1 / SHARE, and so is each window over siblings.
 
-Defined results: a null url, or one without ://, has an empty host and path; hosts without labels get the smoothed
-purity of the whole table; repeated rows are judged each and count as often as they occur; null keys are judged like any
+Defined results: a null url, or one without ://, has an empty host and path; hosts without labels reject
+nothing; repeated rows are judged each and count as often as they occur; null keys are judged like any
 other; an empty table gives an empty one; other columns are not read.
 """
 
@@ -33,6 +33,8 @@ DEPTH = 4
 CHILDREN, SHARE = 32, 0.05
 #: Weight of the prior, standard errors within which branches merge, and the purity at which a branch is rejected.
 PRIOR, ERRORS, LIMIT = 4.0, 1.96, 0.5
+#: Labels that a branch must have to be rejected.
+LEAST = 5
 WILDCARD = "*"
 
 
@@ -84,7 +86,7 @@ def templates(shapes: DataFrame) -> DataFrame:
 
 
 def branches(found: DataFrame) -> DataFrame:
-    """(host, template, branch, purity): sibling templates with their merged branch."""
+    """(host, template, branch, purity, known): sibling templates with their merged branch and its labels."""
     rows = found.groupBy("host", "template").agg(*(F.sum(c).alias(c) for c in ("pages", "labelled", "bad")))
     rows = scratch.written(rows.withColumn("parent", F.array_join(F.slice("template", F.lit(1), F.greatest(F.size("template") - 1, F.lit(0))), "/")), "templates")
     whole = rows.agg(F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"), F.coalesce(F.sum("labelled"), F.lit(0)).alias("labelled")).first()
@@ -100,7 +102,7 @@ def branches(found: DataFrame) -> DataFrame:
     rows = rows.withColumn("apart", apart).withColumn("branch", F.sum("apart").over(order))
     merged = Window.partitionBy("host", "parent", "branch")
     purity = (F.sum("bad").over(merged) + F.lit(PRIOR * prior)) / (F.sum("labelled").over(merged) + F.lit(PRIOR))
-    return rows.withColumn("purity", purity).select("host", "template", "branch", "purity")
+    return rows.withColumn("purity", purity).withColumn("known", F.sum("labelled").over(merged)).select("host", "template", "branch", "purity", "known")
 
 
 def judged(pages: DataFrame, labels: DataFrame, key: str = "page_id", url: str = "url", rules=RULES, label_key: str | None = None) -> DataFrame:
@@ -118,8 +120,8 @@ def judged(pages: DataFrame, labels: DataFrame, key: str = "page_id", url: str =
     )
     found = templates(counted.groupBy("host", "shape").agg(*(F.sum(c).alias(c) for c in ("pages", "labelled", "bad"))))
     verdicts = found.select("host", "shape", "template").join(branches(found), ["host", "template"])
-    verdicts = scratch.written(verdicts.select("host", "shape", "template", "purity"), "verdicts")
-    own = F.when(F.col("purity") >= LIMIT, "block").otherwise("allow")
+    verdicts = scratch.written(verdicts.select("host", "shape", "template", "purity", "known"), "verdicts")
+    own = F.when((F.col("purity") >= LIMIT) & (F.col("known") >= LEAST), "block").otherwise("allow")
     return rows.join(verdicts, ["host", "shape"], "left").select(
         F.col("key").alias(key), "host", "path", "rule", F.coalesce("said", own).alias("verdict"), F.concat(F.lit("/"), F.array_join("template", "/")).alias("template"), "purity"
     )
