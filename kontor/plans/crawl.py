@@ -72,7 +72,7 @@ def _links(read: DataFrame, find, policy: ContactPolicy) -> DataFrame:
     """(site_key, url, ord) of the links that `find` sees on pages, by page and rank."""
     pages = read.select(F.struct("site_key", "stage", "ord", "url").alias("page_id"), "url", "html")
     found = find(L.anchors(pages), policy=policy)
-    return found.select(F.col("page.site_key").alias("site_key"), "url", (F.col("page.stage") * 10**9 + F.col("page.ord") * 10**4 + F.col("rank")).alias("ord"))
+    return found.select(F.col("page.site_key").alias("site_key"), "url", (F.col("page.stage").cast("long") * 10**9 + F.col("page.ord") * 10**4 + F.col("rank")).alias("ord"))
 
 
 def without_email(read: DataFrame, policy: ContactPolicy) -> DataFrame:
@@ -144,7 +144,7 @@ def crawl(sites: DataFrame, pages: DataFrame, guesses: DataFrame, deep: DataFram
     refused = guessed.join(confirmed, "site_key", "left_anti")
     kept = read.join(refused, "site_key", "left_anti").join(sites.select("site_key", F.col("url").alias("start")), "site_key").join(homes, "site_key")
     domains = F.array_remove(F.array_distinct(F.array(*(registrable(host_of(F.col(c)), policy) for c in ("start", "final_url")))), "")
-    order = F.col("stage") * 10**6 + F.col("ord")
+    order = F.col("stage").cast("long") * 10**6 + F.col("ord")
     found = with_emails(kept.select("site_key", "url", order.alias("seq"), domains.alias("own"), "html"), policy=policy)
     found = found.select("site_key", "url", "seq", "own", F.explode("emails").alias("email"))
     found = first_of_each(found, ["site_key", "email"], "seq", "url")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from kontor.functions.email import with_emails
 from kontor.functions.url import host_of, registrable, site_from_url
@@ -37,7 +37,7 @@ def append_new(folder: str, policy: ContactPolicy = DEFAULT):
     def each(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         rows = found_emails(batch, policy)
-        schema = rows.schema.add("batch", "int")
+        schema = StructType([*rows.schema.fields, StructField("batch", IntegerType())])
         before = read_state(spark, folder, schema).where(F.col("batch") != number)
         new = add_new(before, rows, KEYS, "ingest_seq", "source_url")
         new.write.mode("overwrite").parquet(f"{folder}/batch={number}")
