@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kontor.functions import email as E
 from kontor.functions.url import host_of, registrable, site_from_url
+from kontor.operators.numbering import numbered
 from kontor.operators.state import add_new
 from kontor.policy import DEFAULT, ContactPolicy
 from kontor.schemas import businesses_like
@@ -37,13 +38,7 @@ def collect(existing: DataFrame, sources: list[DataFrame], policy: ContactPolicy
     order = ("source_place", F.col("ingest_seq").asc_nulls_last(), "name", "website", "address")
     new = add_new(existing, rows, ["source", "source_id"], *order)
     top = existing.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    # Ids by rank within a source and the sources' totals: no single task holds all rows.
-    totals = {r["source"]: r["n"] for r in new.groupBy("source").agg(F.count("*").alias("n")).collect()}
-    before, known = top, F.lit(0)
-    for name in sorted(totals, key=lambda s: (SOURCE_ORDER.index(s) if s in SOURCE_ORDER else len(SOURCE_ORDER), s)):
-        known, before = F.when(F.col("source") == name, F.lit(before)).otherwise(known), before + totals[name]
-    within = F.row_number().over(Window.partitionBy("source").orderBy(F.col("ingest_seq").asc_nulls_last(), "source_id"))
-    return new.withColumn("id", (known + within).cast("long")).drop("source_place")
+    return numbered(new, "id", "source_place", F.col("ingest_seq").asc_nulls_last(), "source_id", start=top + 1).drop("source_place")
 
 
 def sites_of(existing: DataFrame, businesses: DataFrame) -> DataFrame:
