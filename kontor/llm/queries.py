@@ -23,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_topk": topk.OP2_SQL,
+    "op4_url_templates": url_templates.OP4_SQL,
     "op5_preferences": preferences.OP5_SQL,
     "op7_mixing": mixing.OP7_SQL,
 }

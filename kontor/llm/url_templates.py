@@ -56,7 +56,7 @@ def ruled(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 def shape(path: Column) -> Column:
     """The segments of a path, variable ones by form replaced; a slash at the end stays with its segment."""
-    parts = F.split(F.regexp_replace(F.substring(path, 2, 1 << 30), "(?<=[^/])/$", "\u0001"), "/", -1)
+    parts = F.split(F.regexp_replace(F.substring(path, 2, 1 << 30), r"(?<=[^/])/\z", "\u0001"), "/", -1)
     rest = F.array(F.array_join(F.slice(parts, F.lit(DEPTH), F.greatest(F.size(parts), F.lit(1))), "/"))
     folded = F.when(F.size(parts) <= DEPTH, parts).otherwise(F.concat(F.slice(parts, 1, DEPTH - 1), rest))
     return F.transform(folded, lambda s: F.translate(F.regexp_replace(F.regexp_replace(s, r"\b[0-9A-Fa-f-]{16,}\b", "%"), "[0-9]+", "#"), "\u0001", "/"))
@@ -133,3 +133,64 @@ def op4_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = "try_cast(nullif(regexp_extract(path, '^/[^/]+/([0-9]+)', 1), '') AS BIGINT)"
     found = judged(spark.read.parquet(f"{sf_dir}/pages.parquet"), labels, label_key=number)
     return found.select("page_id", "host", "path", "rule", "verdict", "template", "purity")
+
+
+def _level_sql(level: int) -> str:
+    """The steps of one level of the tree: t{level} becomes t{level + 1}."""
+    prefix = f"coalesce(array_to_string(template[1:{level}], '/'), '')"
+    return f"""
+children{level} AS (SELECT host, {prefix} AS prefix, template[{level + 1}] AS child, sum(pages) AS pages FROM t{level} WHERE len(template) > {level} GROUP BY ALL),
+nodes{level} AS (SELECT host, prefix, sum(pages) AS whole FROM children{level} GROUP BY host, prefix HAVING count(*) > {CHILDREN}),
+rare{level} AS (SELECT c.host, c.prefix, c.child FROM children{level} c JOIN nodes{level} n ON c.host = n.host AND c.prefix = n.prefix WHERE c.pages < CAST({SHARE} AS DOUBLE) * n.whole AND c.child <> '{WILDCARD}'),
+t{level + 1} AS (
+  SELECT t.host, t.shape, t.pages, t.labelled, t.bad, CASE WHEN r.child IS NULL THEN t.template ELSE list_concat(list_concat(t.template[1:{level}], ['{WILDCARD}']), t.template[{level + 2}:]) END AS template
+  FROM (SELECT *, {prefix} AS prefix, template[{level + 1}] AS child FROM t{level}) t LEFT JOIN rare{level} r ON t.host = r.host AND t.prefix = r.prefix AND t.child = r.child),"""
+
+
+def _rule_sql(answer: int) -> str:
+    fits = "(host = '{0}' OR ends_with(host, '.{0}')) AND starts_with(path, '/{1}')"
+    return "CASE " + " ".join(f"WHEN {fits.format(*rule[1].split('/', 1))} THEN '{rule[answer]}'" for rule in sorted(RULES, key=lambda r: -len(r[1]))) + " END"
+
+
+OP4_SQL = rf"""
+WITH parsed AS (
+  SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), '{ascii_uppercase}', '{ascii_lowercase}') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path
+  FROM pages
+), parts AS (
+  SELECT *, {_rule_sql(1)} AS rule, {_rule_sql(0)} AS said, string_split(regexp_replace(substr(path, 2), '([^/])/$', '\1' || chr(1)), '/') AS p,
+         TRY_CAST(nullif(regexp_extract(path, '^/[^/]+/([0-9]+)', 1), '') AS BIGINT) AS number
+  FROM parsed
+), shaped AS (
+  SELECT page_id, host, path, rule, said, number,
+         list_transform(CASE WHEN len(p) <= {DEPTH} THEN p ELSE list_concat(p[1:{DEPTH - 1}], [array_to_string(p[{DEPTH}:], '/')]) END,
+           lambda s: replace(regexp_replace(regexp_replace(s, '\b[0-9A-Fa-f-]{{16,}}\b', '%', 'g'), '[0-9]+', '#', 'g'), chr(1), '/')) AS shape
+  FROM parts
+), known AS (
+  SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL AND (quality = 0 OR toxic = 1) IS NOT NULL GROUP BY doc_id
+), t0 AS (
+  SELECT s.host, s.shape, count(*) AS pages, count(k.doc_id) AS labelled, coalesce(sum(k.bad), 0) AS bad, s.shape AS template
+  FROM shaped s LEFT JOIN known k ON k.doc_id = s.number GROUP BY s.host, s.shape
+), {"".join(map(_level_sql, range(DEPTH)))}
+templates AS (
+  SELECT host, template, sum(labelled) AS labelled, sum(bad) AS bad, coalesce(array_to_string(template[1:len(template) - 1], '/'), '') AS parent FROM t{DEPTH} GROUP BY host, template
+), whole AS (
+  SELECT CAST(coalesce(sum(bad), 0) + 1 AS DOUBLE) / CAST(coalesce(sum(labelled), 0) + 2 AS DOUBLE) AS prior FROM templates
+), rated AS (
+  SELECT t.*, (CAST(bad AS DOUBLE) + CAST({PRIOR} AS DOUBLE) * prior) / (CAST(labelled AS DOUBLE) + CAST({PRIOR} AS DOUBLE)) AS rate, CAST(labelled AS DOUBLE) + CAST({PRIOR} AS DOUBLE) AS weight, prior FROM templates t, whole
+), beside AS (
+  SELECT *, lag(rate) OVER (PARTITION BY host, parent ORDER BY rate, template) AS left_rate, lag(weight) OVER (PARTITION BY host, parent ORDER BY rate, template) AS left_weight FROM rated
+), pooled AS (
+  SELECT *, (rate * weight + left_rate * left_weight) / (weight + left_weight) AS pooled_rate FROM beside
+), apart AS (
+  SELECT *, CASE WHEN left_rate IS NULL OR rate - left_rate > CAST({ERRORS} AS DOUBLE) * sqrt(pooled_rate * (1 - pooled_rate) * (1 / weight + 1 / left_weight)) THEN 1 ELSE 0 END AS apart FROM pooled
+), branches AS (
+  SELECT *, sum(apart) OVER (PARTITION BY host, parent ORDER BY rate, template) AS branch FROM apart
+), judged AS (
+  SELECT host, template, sum(labelled) OVER (PARTITION BY host, parent, branch) AS known,
+         (CAST(sum(bad) OVER (PARTITION BY host, parent, branch) AS DOUBLE) + CAST({PRIOR} AS DOUBLE) * prior) / (CAST(sum(labelled) OVER (PARTITION BY host, parent, branch) AS DOUBLE) + CAST({PRIOR} AS DOUBLE)) AS purity
+  FROM branches
+)
+SELECT s.page_id, s.host, s.path, s.rule, coalesce(s.said, CASE WHEN j.purity >= {LIMIT} AND j.known >= {LEAST} THEN 'block' ELSE 'allow' END) AS verdict, '/' || array_to_string(t.template, '/') AS template, j.purity
+FROM shaped s JOIN t{DEPTH} t ON t.host = s.host AND t.shape = s.shape JOIN judged j ON j.host = t.host AND j.template = t.template
+"""
