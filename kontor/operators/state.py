@@ -5,21 +5,38 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir; a temporary folder only where that is unset (tests, local mode)."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "")
+    if not found:
+        made = tempfile.mkdtemp(prefix="kontor-")
+        atexit.register(shutil.rmtree, made, True)
+        found = f"file://{made}"
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """`df` computed once and kept in spark.checkpoint.dir, without its lineage; a temporary folder only where that is unset."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if not folder:
-            folder = tempfile.mkdtemp(prefix="kontor-")
-            atexit.register(shutil.rmtree, folder, True)
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+    """`df` computed once and kept as a table in the shared folder, without its lineage, as long as the application lives."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/kontor/{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, path)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # the JVM may be gone when Python ends
+        pass
 
 
 def first_of_each(df: DataFrame, keys: list[str], *order: Column | str) -> DataFrame:
