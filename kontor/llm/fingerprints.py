@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from kontor.llm import scratch
 
-SAMPLES = 16
+SAMPLES = 24
 HEX = 6
 RANGE_ROWS = 1000
 #: Ranges are found by two searches through at most so many bounds.
