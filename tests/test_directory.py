@@ -36,7 +36,7 @@ def test_run(spark, inputs, tmp_path):
     assert {(r["site_key"], r["status"]) for r in d.sites.collect()} == {("lune.fr", "ok"), ("garagevide.fr", "unreachable"), ("garage-ami.fr", "ok")}
     assert {r["source"] for r in d.businesses.collect()} == {"osm", "sirene", "lien"} and d.businesses.select("id").distinct().count() == 3
     n = d.emails.count()
-    main(["--db", db, "crawl", "--pages", str(inputs / "pages"), "--robots", str(inputs / "robots"), "--retry-failed", "--recrawl-no-email"], spark)
+    main(["--db", db, "crawl", "--pages", str(inputs / "pages"), "--robots", str(inputs / "robots"), "--no-partners", "--retry-failed", "--recrawl-no-email"], spark)
     assert d.emails.count() == n  # what is known is not added again
     main(["--db", db, "stats"], spark)
     main(["categories"], spark)
