@@ -29,27 +29,31 @@ def clean_email(raw: Column, policy: ContactPolicy = DEFAULT) -> Column:
     """The address in its normal form, or null where it is invalid or a placeholder."""
     e = F.regexp_replace(raw, r"(?U)^\s+|\s+\z", "")
     e = F.lower(F.regexp_replace(e, r"""^[.,;:'"<>()\[\]{}]+|[.,;:'"<>()\[\]{}]+\z""", ""))
-    e = F.regexp_replace(e, r"^mailto:", "")
-    parts = F.split(e, "@", -1)
-    local = F.regexp_replace(F.get(parts, F.lit(0)), r"^[._%+-]+|[._%+-]+\z", "")
-    domain = F.regexp_replace(F.get(parts, F.lit(1)), r"^[.-]+|[.-]+\z", "")
-    tld = F.substring_index(domain, ".", -1)
-    valid = (
-        (F.size(parts) == 2)
-        & (F.length(e) <= 254)
-        & (F.length(local) <= 64)
-        & local.rlike(r"^[a-z0-9._%+-]+\z")
-        & domain.rlike(r"^[a-z0-9.-]*\.[a-z]{2,}\z")
-        & ~local.contains("..")
-        & ~domain.contains("..")
-        & ~tld.isin(*policy.bad_tlds)
-        & ~domain.rlike(policy.placeholder_domain.replace("$", r"\z"))
-        & ~domain_in(domain, policy.bad_domains)
-        & ~local.isin(*policy.bad_locals)
-        & ~local.rlike(policy.bad_local)
-        & ~local.rlike(r"^[0-9a-f]{20,}\z")
-    )
-    return F.when(valid, F.concat(local, F.lit("@"), domain))
+
+    def of_address(e: Column) -> Column:
+        parts = F.split(e, "@", -1)
+        local = F.regexp_replace(F.get(parts, F.lit(0)), r"^[._%+-]+|[._%+-]+\z", "")
+        domain = F.regexp_replace(F.get(parts, F.lit(1)), r"^[.-]+|[.-]+\z", "")
+        return F.when((F.size(parts) == 2) & (F.length(e) <= 254), let(F.array(local, domain), of_parts))
+
+    def of_parts(both: Column) -> Column:
+        local, domain = F.get(both, F.lit(0)), F.get(both, F.lit(1))
+        valid = (
+            (F.length(local) <= 64)
+            & local.rlike(r"^[a-z0-9._%+-]+\z")
+            & domain.rlike(r"^[a-z0-9.-]*\.[a-z]{2,}\z")
+            & ~local.contains("..")
+            & ~domain.contains("..")
+            & ~F.substring_index(domain, ".", -1).isin(*policy.bad_tlds)
+            & ~domain.rlike(policy.placeholder_domain.replace("$", r"\z"))
+            & ~domain_in(domain, policy.bad_domains)
+            & ~local.isin(*policy.bad_locals)
+            & ~local.rlike(policy.bad_local)
+            & ~local.rlike(r"^[0-9a-f]{20,}\z")
+        )
+        return F.when(valid, F.concat(local, F.lit("@"), domain))
+
+    return let(F.regexp_replace(e, r"^mailto:", ""), of_address)
 
 
 def protected_decode(hexadecimal: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from kontor.functions import let
 from kontor.policy import DEFAULT, ContactPolicy
 
 IPV4 = r"^\d{1,3}(\.\d{1,3}){3}\z"
@@ -43,12 +44,16 @@ def without_www(host: Column) -> Column:
 
 def registrable(host: Column, policy: ContactPolicy = DEFAULT) -> Column:
     """The domain that can be registered, by rule of thumb: two labels, three under a reserved second level."""
-    name = without_www(F.regexp_replace(F.lower(F.coalesce(host, F.lit(""))), r"^\.+|\.+\z", ""))
-    labels = F.split(name, r"\.")
-    n = F.size(labels)
-    three = (F.length(F.element_at(labels, -1)) == 2) & F.get(labels, n - 2).isin(*policy.second_level)
-    last = F.array_join(F.slice(labels, F.greatest(n - F.when(three, 2).otherwise(1), F.lit(1)), F.lit(3)), ".")
-    return F.when(name.rlike(IPV4) | (n <= 2), name).otherwise(last)
+
+    def of_labels(labels: Column) -> Column:
+        n = F.size(labels)
+        three = (F.length(F.element_at(labels, -1)) == 2) & F.get(labels, n - 2).isin(*policy.second_level)
+        return F.array_join(F.slice(labels, F.greatest(n - F.when(three, 2).otherwise(1), F.lit(1)), F.lit(3)), ".")
+
+    def of_name(name: Column) -> Column:
+        return F.when(name.rlike(IPV4), name).otherwise(let(F.split(name, r"\."), lambda labels: F.when(F.size(labels) <= 2, name).otherwise(of_labels(labels))))
+
+    return let(without_www(F.regexp_replace(F.lower(F.coalesce(host, F.lit(""))), r"^\.+|\.+\z", "")), of_name)
 
 
 def suffixes(host: Column) -> Column:
@@ -64,15 +69,22 @@ def domain_in(host: Column, domains: tuple[str, ...]) -> Column:
 
 def site_from_url(raw: Column, policy: ContactPolicy = DEFAULT) -> Column:
     """struct<site_key, url> of a site's raw address; both null where it is unusable or blocked."""
-    first = F.get(F.split(F.regexp_replace(raw, r"(?U)^\s+|\s+\z", ""), r"(?U)[\s;,|]+"), F.lit(0))
-    full = F.when(first.contains("://"), first).otherwise(F.concat(F.lit("https://"), F.regexp_replace(first, "^/+", "")))
-    host, path, scheme = host_of(full), path_of(full), scheme_of(full)
-    shared = host.isin(*policy.shared_hosts)
-    segments = F.filter(F.split(path, "/"), lambda s: s != "")
-    usable = (first != "") & scheme.isin("http", "https") & host.contains(".") & F.when(shared, F.size(segments) > 0).otherwise(~domain_in(host, policy.blocked_sites))
-    key = F.when(shared, F.concat(host, F.lit("/"), F.array_join(F.slice(segments, 1, 2), "/"))).otherwise(without_www(host))
-    url = F.concat(scheme, F.lit("://"), authority_of(full), F.when(path == "", "/").otherwise(path))
-    return F.struct(F.when(usable, key).alias("site_key"), F.when(usable, url).alias("url"))
+
+    def of_full(full: Column) -> Column:
+        path, scheme = path_of(full), scheme_of(full)
+        segments = F.filter(F.split(path, "/"), lambda s: s != "")
+
+        def of_host(host: Column) -> Column:
+            shared = host.isin(*policy.shared_hosts)
+            usable = scheme.isin("http", "https") & host.contains(".") & F.when(shared, F.size(segments) > 0).otherwise(~domain_in(host, policy.blocked_sites))
+            key = F.when(shared, F.concat(host, F.lit("/"), F.array_join(F.slice(segments, 1, 2), "/"))).otherwise(without_www(host))
+            url = F.concat(scheme, F.lit("://"), authority_of(full), F.when(path == "", "/").otherwise(path))
+            return F.struct(F.when(usable, key).alias("site_key"), F.when(usable, url).alias("url"))
+
+        return let(host_of(full), of_host)
+
+    first = F.nullif(F.get(F.split(F.regexp_replace(raw, r"(?U)^\s+|\s+\z", ""), r"(?U)[\s;,|]+"), F.lit(0)), F.lit(""))
+    return let(F.when(first.contains("://"), first).otherwise(F.concat(F.lit("https://"), F.regexp_replace(first, "^/+", ""))), of_full)
 
 
 def page_identity(url: Column) -> Column:
