@@ -171,14 +171,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", bi
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", bits: int = 4) -> DataFrame:
-    """`docs` without near-duplicates: of every component, the row with its least key stays, and one of rows repeating a key.
+    """`docs` without near-duplicates: of every component, the row with the least key (null last) and then the least digest of its text stays.
 
-    Rows without a key cannot stand for a component; all of them stay, but one for each text.
+    Rows that share a key and differ in their texts are rows of their own.
     """
-    found = near_duplicates(docs, key, text, bits)
-    kept = found.where(F.col(key) == F.col("component")).select(F.col(key).alias("_kept")).distinct()
-    named = docs.join(kept, docs[key] == kept["_kept"], "left_semi").dropDuplicates([key])
-    return named.unionByName(docs.where(F.col(key).isNull()).dropDuplicates([text]))
+    mark = F.coalesce(F.md5(F.col(text).cast("binary")), F.lit(""))
+    who = F.struct(F.col(key).isNull().alias("last"), F.col(key).alias("key"), mark.alias("mark"))
+    found = near_duplicates(docs.select(who.alias("who"), text), "who", text, bits)
+    kept = found.where(F.col("who").eqNullSafe(F.col("component"))).select(F.col("who.key").alias("_key"), F.col("who.mark").alias("_mark")).distinct()
+    named = docs.withColumn("_own", mark).join(kept, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_own") == F.col("_mark")), "left_semi")
+    return named.dropDuplicates([key, "_own"]).drop("_own")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

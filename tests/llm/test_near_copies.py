@@ -76,6 +76,16 @@ def test_stage_of_odd_tables(spark, docs, no_docs, texts):
     assert len(ids) == len(set(ids)) and None in ids
 
 
+@pytest.mark.parametrize("one_of_each", [simhash.one_of_each, near_copies.one_of_each])
+def test_rows_that_share_a_key_or_have_none(spark, one_of_each):
+    rng = random.Random(4)
+    a, b, c = (" ".join(f"w{rng.randint(0, 5000)}" for _ in range(250)) for _ in range(3))
+    rows = [(1, a), (1, b), (2, b.upper()), (None, c), (None, c.upper()), (None, a.upper())]
+    found = one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r["text"].lower() for r in found) == sorted([a, b, c])
+    assert sorted((r["text"] for r in found if r["doc_id"] == 1)) == sorted([a, b])
+
+
 def test_pipeline_with_the_stage_by_all_pairs(spark, monkeypatch):
     """The brute force of test_pipeline, with all pairs of shingle sets in place of four bits."""
     from kontor.llm import langid
