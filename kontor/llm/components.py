@@ -1,4 +1,4 @@
-"""Connected components of a graph given as edges, by minimum labels and pointer jumping."""
+"""Connected components of a graph given as edges, by alternating large and small stars."""
 
 from __future__ import annotations
 
@@ -8,24 +8,37 @@ from pyspark.sql import functions as F
 from kontor.llm import scratch
 
 
+def _large_star(edges: DataFrame) -> DataFrame:
+    """Hooks the greater neighbours of every node to the least node around it."""
+    least = edges.groupBy("hi").agg(F.min("lo").alias("least")).withColumnRenamed("hi", "lo")
+    return edges.join(least, "lo", "left").select("hi", F.coalesce("least", "lo").alias("lo")).distinct()
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Hooks every node and its lesser neighbours to the least of them."""
+    least = edges.groupBy("hi").agg(F.min("lo").alias("least"))
+    both = F.array(F.struct(F.col("hi"), F.col("least").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("least").alias("lo")))
+    return edges.join(least, "hi").select(F.inline(both)).where("hi <> lo").distinct()
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, label) for every node of an edge; label is the smallest node of its component.
 
-    Each round takes the least label of a node's neighbours and then the label of that label, so that the number of
-    rounds grows with the logarithm of the longest shortest path. Tables of a round are written in the shared folder:
-    no lineage grows and no label reaches the driver. Both inputs of every join are such tables, so that adaptive
-    execution can split a hot node; minima are combined before they are shuffled. Labels only fall, hence an unchanged
-    sum means the end.
+    A round is a large star and a small star. Both keep the components and shorten paths by a factor, whatever the
+    numbers of their nodes (tests hold a row of 10,000 nodes to 20 rounds). The end is reached when a round changes
+    nothing: every node then hangs at the least one of its component. Tables of a round are written in the shared folder
+    and those before it are deleted: no lineage grows and no label reaches the driver. Inputs of joins are such tables,
+    so that adaptive execution can split a hot node; minima are combined before they are shuffled.
     """
-    both = scratch.written(
-        edges.select(F.col(a).alias("node"), F.col(b).alias("next")).union(edges.select(F.col(b), F.col(a))).where("node <> next").distinct(), "edges"
-    )
-    labels = scratch.written(both.groupBy("node").agg(F.least("node", F.min("next")).alias("label")), "labels")
-    total = None
-    while (now := labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]) != total:
-        total = now
-        seen = both.join(labels.withColumnRenamed("node", "next"), "next").select("node", "label")
-        least = scratch.written(seen.union(labels).groupBy("node").agg(F.min("label").alias("label")), "labels")
-        jump = least.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        labels = scratch.written(least.join(jump, "label").select("node", F.col("further").alias("label")), "labels")
-    return labels
+    rows = edges.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).where("hi <> lo")
+    now, before = scratch.written(rows.distinct(), "edges"), None
+    while True:
+        found = now.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
+        if found == before or not found[0]:
+            break
+        before = found
+        stars = scratch.written(_large_star(now), "stars")
+        scratch.dropped(now)
+        now = scratch.written(_small_star(stars), "edges")
+        scratch.dropped(stars)
+    return now.select(F.col("hi").alias("node"), F.col("lo").alias("label")).union(now.select("lo", "lo").distinct())

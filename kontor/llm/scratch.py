@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; a temporary folder only where that is unset (tests, local mode)."""
+    """The session's spark.checkpoint.dir; a temporary folder only where that is unset and all runs in one process (tests)."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         made = tempfile.mkdtemp(prefix="kontor-")
         atexit.register(shutil.rmtree, made, True)
         found = f"file://{made}"
@@ -41,7 +43,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """`df` written as a Parquet table and read again: cuts the lineage, survives lost executors, runs `df` once."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found._scratch = path
+    return found
+
+
+def dropped(table: DataFrame) -> None:
+    """Deletes what written() made, where nothing reads it any more."""
+    _delete(table.sparkSession, table._scratch)
 
 
 def bucketed(df: DataFrame, name: str, buckets: int, key: str) -> DataFrame:

@@ -10,8 +10,9 @@ Turan's construction, of which every four positions contain one: no link is miss
 
 Scale: copies are merged by fingerprint before anything is paired (pre-aggregated in the map); of each list, only the
 edges of a spanning forest of its links leave the task, found by breadth-first search with vectorised comparisons, so a
-large group of near copies costs a few rows per member and never its square. Lists are streamed in sorted order. Links
-become components through tables in the shared folder.
+large group of near copies costs a few rows per member and never its square. Lists are streamed in sorted order; one of
+more than LONG fingerprints is dealt out again by a fourth positional byte (two linked fingerprints share four), to tasks
+of their own. Links become components through tables in the shared folder.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from kontor.llm.components import components
 WORDS, SEED, BYTES = 4, 42, 8
 #: Lists of up to so many fingerprints are compared by offsets, all lists at once; longer ones by search.
 SHORT = 16
+#: Lists of more fingerprints are split by a fourth byte.
+LONG = 4096
 
 
 def fingerprint(text: str | None, words: int = WORDS) -> int:
@@ -120,28 +123,47 @@ def _list_links(keys: np.ndarray, fps: np.ndarray, bits: int) -> tuple[np.ndarra
     return np.concatenate(left or none), np.concatenate(right or none)
 
 
-def _links(bits: int):
-    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, fps = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+def _fourth(key: int, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The fingerprints of a list again, once for each position that its key leaves open, under longer keys."""
+    open_positions = [p for p in range(BYTES) if p not in position_triples()[key >> 24]]
+    found = [((np.int64(key) << 11) | (p << 8)) | ((fps >> np.uint64(8 * p)) & np.uint64(255)).astype(np.int64) for p in open_positions]
+    return np.concatenate(found), np.tile(fps, len(open_positions))
+
+
+def _links(bits: int, split: bool):
+    """Sorted rows (key, fp) to links (a, b, null), and with `split` rows (key, fp, true) of the parts of long lists."""
 
-        def row(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+    def made(a: np.ndarray, b: np.ndarray, part: bool | None) -> pa.RecordBatch:
+        columns = [pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array([part], pa.bool_()).take(pa.array(np.zeros(len(a), np.int64)))]
+        return pa.RecordBatch.from_arrays(columns, names=["a", "b", "part"])
 
+    def whole(keys: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if split and len(keys) > LONG:
+            starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+            sizes = np.diff(np.append(starts, len(keys)))
+            for i in np.flatnonzero(sizes > LONG).tolist():
+                yield made(*_fourth(int(keys[starts[i]]), fps[starts[i] : starts[i] + sizes[i]]), True)
+            short = np.repeat(sizes <= LONG, sizes)
+            keys, fps = keys[short], fps[short]
+        if len(keys):
+            yield made(*_list_links(keys, fps, bits), None)
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_keys, open_fps = [], []  # the list at the end of what was read
         for batch in batches:
             if not batch.num_rows:
                 continue
             keys = batch.column(0).to_numpy(zero_copy_only=False)
             fps = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
-            cut = int(np.searchsorted(keys, keys[-1]))
             if open_keys and open_keys[-1][-1] == keys[-1]:
                 open_keys.append(keys)
                 open_fps.append(fps)
                 continue
-            yield row(*_list_links(np.concatenate([*open_keys, keys[:cut]]), np.concatenate([*open_fps, fps[:cut]]), bits)) if cut or open_keys else row(fps[:0], fps[:0])
+            cut = int(np.searchsorted(keys, keys[-1]))
+            yield from whole(np.concatenate([*open_keys, keys[:cut]]), np.concatenate([*open_fps, fps[:cut]]))
             open_keys, open_fps = [keys[cut:]], [fps[cut:]]
         if open_keys:
-            yield row(*_list_links(np.concatenate(open_keys), np.concatenate(open_fps), bits))
+            yield from whole(np.concatenate(open_keys), np.concatenate(open_fps))
 
     return links
 
@@ -151,8 +173,14 @@ def link_fingerprints(distinct: DataFrame, bits: int = 4) -> DataFrame:
     if not 0 <= bits <= BYTES - 4:
         raise ValueError("the index guarantees links of up to 4 bits")
     parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    lists = distinct.select(F.explode(_keys(F.col("fp"))).alias("key"), "fp").repartition(parts, "key").sortWithinPartitions("key", "fp")
-    return lists.mapInArrow(_links(bits), "a long, b long")
+
+    def linked(lists: DataFrame, split: bool) -> DataFrame:
+        return lists.repartition(parts, "key").sortWithinPartitions("key", "fp").mapInArrow(_links(bits, split), "a long, b long, part boolean")
+
+    found = scratch.written(linked(distinct.select(F.explode(_keys(F.col("fp"))).alias("key"), "fp"), True), "simhash_links")
+    parts_of_long = found.where("part").select(F.col("a").alias("key"), F.col("b").alias("fp"))
+    links = found.where("part IS NULL").select("a", "b")
+    return links if parts_of_long.isEmpty() else links.union(linked(parts_of_long, False).select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", bits: int = 4) -> DataFrame:
