@@ -5,9 +5,11 @@ languages that contain it, in a few memory reads however many languages there ar
 for each language; each count is corrected by the false positives that the language's slices are filled for, and the
 largest corrected share decides.
 
-Fitting takes a bounded sample: about SAMPLE_ROWS rows of each language, chosen by a hash of the key, whole texts. What
-reaches the driver is bounded by GRAMS n-grams for each language. Prediction reads every whole text, in pieces, with
-the filter of fixed size broadcast; it is a narrow stage without any shuffle.
+Fitting takes a bounded sample of labelled rows: about SAMPLE_ROWS of each of the LANGUAGES languages with most rows,
+chosen by a hash of key and text (one row of each language at least), whole texts; rows that repeat key and text count once. Every n-gram of the sample goes
+in. Each task fills a filter of its own; their bits are combined by slot, so what travels and what reaches the driver is
+bounded by the size of the filter, SLOTS x 8 bytes for each 64 languages, as is what is broadcast. Prediction reads every
+whole text; it is a narrow stage without any shuffle.
 
 Defined results: `und` with score 0 for null texts, texts without any letter, and where nothing could be learned; ties
 go to the language that is first by code point; rows with null text or null language are not learned from; repeated
@@ -21,21 +23,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kontor.llm import pretokens
 
 #: Lengths of n-grams, in code points; words are bounded by one space.
-LENGTHS = (2, 3, 4)
-#: Rows of a language to learn from, on average at most; n-grams kept of each; times an n-gram must occur in the sample.
-SAMPLE_ROWS, GRAMS, LEAST = 2000, 20_000, 3
-#: A language keeps an n-gram only if its rate there is such a part of the highest rate in any language.
-PART = 0.1
+LENGTHS = (3, 4, 5)
+#: Rows of a language to learn from, on average at most; languages, at most.
+SAMPLE_ROWS, LANGUAGES = 2000, 256
 #: Slots of the filter (a power of two) and hashes of an n-gram.
-SLOTS, HASHES = 1 << 19, 3
-#: Code points handled at once.
+SLOTS, HASHES = 1 << 20, 3
+#: Code points handled at once; results do not depend on it.
 PIECE = 1 << 20
 
 _MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -51,26 +51,28 @@ class Filter:
 
 
 def grams(text: str) -> Iterator[np.ndarray]:
-    """Hashes of the text's n-grams, piece by piece: lower case, letters only, anything else one space."""
-    kinds = pretokens.classes()
-    for at in range(0, len(text), PIECE):
-        # Pieces overlap, so that n-grams across an end count once.
-        piece = text[max(0, at - max(LENGTHS)) : at + PIECE].lower()
-        points = np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), "<u4")
+    """Hashes of the text's n-grams, piece by piece: lower case, letters only, anything else one space, words bounded by one.
+
+    What a piece ends with is carried into the next, so that pieces change nothing.
+    """
+    kinds, lower = pretokens.classes(), text.lower()
+    carried, after_letter = np.array([32], np.uint64), False
+    for at in range(0, len(lower), PIECE):
+        points = np.frombuffer((lower[at : at + PIECE] + " " * (at + PIECE >= len(lower))).encode("utf-32-le", "surrogatepass"), "<u4")
         letter = kinds[points] == pretokens.LETTER
-        points = np.where(letter, points, 32)
-        edge = np.concatenate(([True], letter))
-        keep = letter | edge[:-1]  # of other signs in a row, the first
-        points = np.concatenate(([32], points[keep], [32])).astype(np.uint64)
-        if not letter.any():
-            continue
+        keep = letter | np.concatenate(([after_letter], letter[:-1]))  # of other signs in a row, the first
+        after_letter = bool(letter[-1])
+        new = np.where(letter, points, 32)[keep].astype(np.uint64)
+        row = np.concatenate((carried, new))
         for n in LENGTHS:
-            if len(points) >= n:
-                h = np.full(len(points) - n + 1, n, np.uint64)
+            own = row[max(0, len(carried) - n + 1) :]
+            if len(new) and len(own) >= n:
+                h = np.full(len(own) - n + 1, n, np.uint64)
                 for i in range(n):
-                    h = (h ^ points[i : len(points) - n + 1 + i]) * _MIX[0]
+                    h = (h ^ own[i : len(own) - n + 1 + i]) * _MIX[0]
                     h ^= h >> np.uint64(29)
                 yield h
+        carried = row[-max(LENGTHS) + 1 :]
 
 
 def _slots(h: np.ndarray) -> list[np.ndarray]:
@@ -82,41 +84,53 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def empty_slots(languages: int) -> np.ndarray:
+    return np.zeros((max(1, -(-languages // 64)), SLOTS), np.uint64)
+
+
+def learn(text: str, language: int, slots: np.ndarray) -> None:
+    """Puts all n-grams of a text in."""
+    bit = np.uint64(1 << (language % 64))
+    for h in grams(text):
+        for at in _slots(h):
+            slots[language // 64, at] |= bit
+
+
+def sampled(docs: DataFrame, key: str, text: str, lang: str) -> tuple[list[str], DataFrame | None]:
+    """The languages, and (lang, text) of the rows to learn from."""
+    rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & ~held_out(F.col(key)))
+    mark = F.shiftrightunsigned(F.xxhash64(F.lit("sample"), F.col(key).cast("string"), F.col(text)), 11) * F.lit(2.0**-53)
+    rows = rows.select(F.col(lang).alias("lang"), F.col(text).alias("text"), mark.alias("mark"))
+    found = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("mark").alias("least")).orderBy(F.col("n").desc(), "lang").limit(LANGUAGES).collect()
+    if not found:
+        return [], None
+    # The least mark of a language is always in.
+    limit = F.create_map(*(F.lit(x) for r in found for x in (r["lang"], max(r["least"], SAMPLE_ROWS / r["n"]))))
+    rows = rows.where(F.col("mark") <= F.element_at(limit, F.col("lang")))
+    return sorted(r["lang"] for r in found), rows.groupBy("lang", "mark").agg(F.min("text").alias("text")).select("lang", "text")
+
+
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Filter:
     """Learns the filter from the labelled rows that are not held out."""
-    rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & ~held_out(F.col(key)))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n")).collect()}
-    languages = sorted(counts)
-    slots = np.zeros((max(1, -(-len(languages) // 64)), SLOTS), np.uint64)
-    if not languages:
+    languages, sample = sampled(docs, key, text, lang)
+    slots = empty_slots(len(languages))
+    if sample is None:
         return Filter([], slots, np.zeros(0))
-    chance = F.create_map(*(F.lit(x) for name in languages for x in (name, min(1.0, SAMPLE_ROWS / counts[name]))))
-    mark = F.crc32(F.concat(F.lit("sample "), F.coalesce(F.col(key).cast("string"), F.lit(""))).cast("binary")) / F.lit(float(1 << 32))
-    sample = rows.where(mark < F.element_at(chance, F.col(lang))).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    place = {name: i for i, name in enumerate(languages)}
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = empty_slots(len(languages))
         for batch in batches:
-            found: dict[str, list[np.ndarray]] = {}
             for name, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found.setdefault(name, []).extend(grams(x))
-            for name, parts in found.items():
-                if parts:
-                    gram, n = np.unique(np.concatenate(parts), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(gram), pa.string()), pa.array(gram.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
-
-    counted = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    rated = counted.withColumn("rate", F.col("n") / F.sum("n").over(Window.partitionBy("lang")))
-    kept = rated.where(F.col("n") >= LEAST).withColumn("most", F.max("rate").over(Window.partitionBy("gram"))).where(F.col("rate") >= PART * F.col("most"))
-    top = Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram")
-    kept = kept.withColumn("at", F.row_number().over(top)).where(F.col("at") <= GRAMS).select("lang", "gram")
-    found = kept.toPandas()
-    wrong = np.zeros(len(languages))
-    for i, name in enumerate(languages):
-        h = found["gram"].to_numpy(np.int64)[(found["lang"] == name).to_numpy()].view(np.uint64)
-        for at in _slots(h):
-            slots[i // 64, at] |= np.uint64(1 << (i % 64))
-        wrong[i] = ((slots[i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean() ** HASHES
-    return Filter(languages, slots, wrong)
+                learn(x, place[name], own)
+        for w, row in enumerate(own):
+            at = np.flatnonzero(row)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), w)), pa.array(at), pa.array(row[at].view(np.int64))], names=["word", "slot", "bits"])
+
+    filled = sample.mapInArrow(fill, "word long, slot long, bits long").groupBy("word", "slot").agg(F.bit_or("bits").alias("bits")).toArrow()
+    slots[filled["word"].to_numpy(), filled["slot"].to_numpy()] = filled["bits"].to_numpy().view(np.uint64)
+    full = [((slots[i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean() for i in range(len(languages))]
+    return Filter(languages, slots, np.array(full) ** HASHES)
 
 
 def judge(text: str | None, model: Filter) -> tuple[str, float]:
@@ -135,7 +149,7 @@ def judge(text: str | None, model: Filter) -> tuple[str, float]:
             hits[64 * w : 64 * w + own] += np.unpackbits(planes, axis=1, bitorder="little")[:, :own].sum(axis=0, dtype=np.int64)
     if not total:
         return "und", 0.0
-    share = np.clip((hits / total - model.wrong) / (1 - model.wrong), 0, 1)
+    share = np.clip((hits / total - model.wrong) / np.maximum(1 - model.wrong, 1e-9), 0, 1)
     best = int(share.argmax())
     return model.languages[best], float(share[best])
 
