@@ -11,7 +11,8 @@ Encoding:
 Pre-aggregation: a word travels once per block, however often it occurs, so a very frequent word is as many rows as
 there are blocks, and texts never travel. Memory of a task is bounded by BLOCK_TOKENS and BLOCK_WORDS plus one document.
 
-Decoding joins each id with the token-byte table, whose size is that of the vocabulary.
+Decoding joins each id with the token-byte table. Its size is that of the vocabulary, so each worker holds it and joins ids
+by their place in it, in order, without a shuffle.
 
 Defined results: a null or empty text has no ids; repeated rows and equal or null keys give one result row each; columns
 other than the key and the text are not read; an empty table gives an empty one.
@@ -27,6 +28,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,7 +36,7 @@ from pyspark.sql import types as T
 from kontor.llm import pretokens, scratch
 
 #: A block is closed when it holds so many pre-tokens or so many distinct words.
-BLOCK_TOKENS, BLOCK_WORDS = 2_000_000, 200_000
+BLOCK_TOKENS, BLOCK_WORDS = 1_200_000, 200_000
 #: Words (as often as there are blocks that hold them) in each bucket of the shuffle by word, on average.
 BUCKET_WORDS = 200_000
 
@@ -288,6 +290,28 @@ def decode(encoded: DataFrame, ids: str = "token_ids", to: str = "decoded", voca
     return encoded.mapInArrow(join, schema)
 
 
+def placed(docs: DataFrame) -> DataFrame:
+    """`docs` with _place (long): ascending in the order of the rows in the part files that `docs` is read from.
+
+    Where `docs` is not read from files, the place is that of the row in the partitions of `docs`.
+    """
+    try:
+        rows = docs.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_index"))
+    except AnalysisException:
+        return docs.withColumn("_place", F.monotonically_increasing_id())
+    part, piece = (F.coalesce(F.regexp_extract("_file", pattern, 1).try_cast("long"), F.lit(0).cast("long")) for pattern in (r"^part-(\d+)", r"-c(\d+)\."))
+    return rows.withColumn("_place", F.shiftleft(part, 42) + F.shiftleft(piece, 32) + F.col("_index")).drop("_file", "_index")
+
+
+def encoded_in_order(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str | None = None) -> DataFrame:
+    """(key, position, token_ids, exact) for every row of `docs`, in their order: position ascends with it, exact says that the decoded ids are the text (null: empty)."""
+    rows = placed(docs).select(F.struct(F.col(key).alias("key"), "_place", F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("hash")).alias("row"), F.col(text).alias("text"))
+    found = decode(encode(rows, "row", "text", vocabulary), vocabulary=vocabulary)
+    found = found.select(F.col("row.key").alias(key), F.col("row._place").alias("position"), "token_ids", (F.xxhash64(F.col("decoded").cast("string")) == F.col("row.hash")).alias("exact"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return found.repartitionByRange(parts, "position").sortWithinPartitions("position")
+
+
 def digests(encoded: DataFrame, key: str = "doc_id") -> DataFrame:
     """What the registered query returns of (key, token_ids, decoded)."""
     spelt = F.concat_ws(" ", F.col("token_ids").cast("array<string>"))
