@@ -115,6 +115,33 @@ def test_simhash_links_of_many(spark):
     assert links.count() < 25 * len(every)  # a forest for each list, not all pairs
 
 
+def test_simhash_splits_long_lists(spark, monkeypatch):
+    """A list split by a fourth byte gives the links of all pairs."""
+    rng = np.random.default_rng(6)
+    monkeypatch.setattr(simhash, "LONG", 40)
+    prints = {int(x) for x in rng.integers(0, 1 << 39, 150)}  # three bytes are those of all
+    prints |= {x ^ (1 << int(a)) ^ (1 << int(b)) ^ (1 << int(c)) ^ (1 << int(d)) for x in list(prints)[:60] for a, b, c, d in [rng.choice(39, 4, replace=False)]}
+    every = sorted(prints)
+    links = simhash.link_fingerprints(spark.createDataFrame([(x,) for x in every], "fp long"))
+    got = {r["node"]: r["label"] for r in components.components(links, "a", "b").collect()}
+    assert {x: got.get(x, x) for x in every} == brute_components(every, every)
+
+
+@pytest.mark.parametrize("order", ["ascending", "random", "outside in", "halves"])
+def test_components_of_a_long_path(spark, monkeypatch, order):
+    n, calls = 10_000, []
+    places = {
+        "ascending": list(range(n)),
+        "random": np.random.default_rng(1).permutation(n).tolist(),
+        "outside in": [x for pair in zip(range(n // 2), range(n - 1, n // 2 - 1, -1)) for x in pair],
+        "halves": [i // 2 if i % 2 else n // 2 + i // 2 for i in range(n)],
+    }[order]
+    large = components._large_star
+    monkeypatch.setattr(components, "_large_star", lambda edges: calls.append(1) or large(edges))
+    found = components.components(spark.createDataFrame(list(zip(places, places[1:])), "a long, b long"), "a", "b").collect()
+    assert len(found) == n and {r["label"] for r in found} == {0} and len(calls) <= 20
+
+
 def test_simhash_of_odd_tables(docs, no_docs):
     assert simhash.near_duplicates(no_docs).collect() == [] and simhash.one_of_each(no_docs).collect() == []
     rows = docs.where("doc_id < 30").withColumn("doc_id", F.when(F.col("doc_id") == 15, None).otherwise(F.col("doc_id")))
@@ -184,6 +211,20 @@ def test_mixing_arranges_rows(docs, no_docs):
     assert mixing.mix(same.union(same).union(same)).count() == 3
 
 
+def test_mixing_takes_rows_without_key_and_repeated_rows(docs):
+    """What arranged() gives is what mix() counts, also where keys are null, repeat, or rows are the same."""
+    rows = docs.where("doc_id > 30").withColumn("doc_id", F.when(F.col("doc_id") % 2 == 0, None).when(F.col("doc_id") % 5 == 0, 7).otherwise(F.col("doc_id")))
+    rows = rows.union(rows.where("size % 4 = 0")).union(rows.where("size % 4 = 0"))
+    plan, got = mixing.mix(rows).collect(), mixing.arranged(rows).collect()
+    assert len(got) == sum(len(r["positions"]) for r in plan) and any(r["doc_id"] is None for r in got)
+    taken = Counter((r["doc_id"], len(re.findall(r"[^\x20\x09-\x0D]+", r["text"]))) for r in got)
+    want = Counter()
+    for r in plan:
+        want[r["doc_id"], r["size"]] += len(r["positions"])
+    assert taken == +want
+    assert got == mixing.arranged(rows.repartition(5)).collect() or Counter(got) == Counter(mixing.arranged(rows.repartition(5)).collect())
+
+
 @pytest.fixture(scope="module")
 def prose(spark):
     rows = [(r * 4 + i, " ".join(words[(r * 7 + 3 * k + k * k) % len(words)] for k in range(30)), lang, None) for r in range(60) for i, (lang, words) in enumerate(PROSE.items())]
@@ -216,8 +257,50 @@ def test_language_of_long_texts_is_that_of_pieces(prose, monkeypatch):
     model = langid.fit(prose)
     text = " ".join(PROSE["fr"]) * 50
     whole = langid.judge(text, model)
-    monkeypatch.setattr(langid, "PIECE", 100)
-    assert langid.judge(text, model)[0] == whole[0] == "fr"
+    assert whole[0] == "fr"
+    text = "Σας İx  12 " + text + " ß!"
+    every = [np.sort(np.concatenate([*langid.grams(t), np.zeros(0, np.uint64)])) for t in (text, "a", "", " .", "é")]
+    for piece in (1, 2, 3, 7, 100, 1 << 20):
+        monkeypatch.setattr(langid, "PIECE", piece)
+        for t, want in zip((text, "a", "", " .", "é"), every):
+            assert np.array_equal(np.sort(np.concatenate([*langid.grams(t), np.zeros(0, np.uint64)])), want)
+        assert langid.judge(" ".join(PROSE["fr"]) * 50, model) == whole
+
+
+def brute_grams(text):
+    import regex
+
+    text = regex.sub(r"[^\p{L}]+", " ", f" {text.lower()} ")
+    return [text[i : i + n] for n in langid.LENGTHS for i in range(len(text) - n + 1)] if text.strip() else []
+
+
+def test_language_is_brute_force(prose):
+    """Shares by sets of n-grams, without hashes: the filter's are those, corrected."""
+    out = {r["doc_id"]: r["out"] for r in prose.select("doc_id", langid.held_out(F.col("doc_id")).alias("out")).collect()}
+    rows, held = prose.collect(), defaultdict(set)
+    for r in rows:
+        if not out[r["doc_id"]]:
+            held[r["lang"]] |= set(brute_grams(r["text"]))
+    got = {r["doc_id"]: r for r in langid.predict(prose, langid.fit(prose)).collect()}
+    for r in rows:
+        found = brute_grams(r["text"])
+        share = {x: sum(g in held[x] for g in found) / len(found) for x in sorted(held)}
+        best = max(sorted(share), key=share.get)
+        assert got[r["doc_id"]]["lang_pred"] == best and got[r["doc_id"]]["score"] == pytest.approx(share[best], abs=0.01)
+
+
+def test_language_learns_from_rows_that_repeat_a_key(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_ROWS", 2)
+    for key in (1, None):
+        rows = spark.createDataFrame([(key, " ".join(words), lang) for lang, words in PROSE.items()] * 50, "doc_id long, text string, lang string")
+        model = langid.fit(rows)
+        assert model.languages == sorted(PROSE) and {r["lang_pred"] for r in langid.predict(rows, model).collect()} == set(PROSE)
+
+
+def test_language_of_held_out_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = langid.predict(docs, langid.fit(docs)).join(docs.where(langid.held_out(F.col("doc_id"))).select("doc_id", "lang"), "doc_id").collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in found) / len(found) > 0.98
 
 
 def test_language_without_labels(prose, no_docs):

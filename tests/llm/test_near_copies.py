@@ -85,18 +85,3 @@ def test_rows_that_share_a_key_or_have_none(spark, one_of_each):
     assert sorted(r["text"].lower() for r in found) == sorted([a, b, c])
     assert sorted((r["text"] for r in found if r["doc_id"] == 1)) == sorted([a, b])
 
-
-def test_pipeline_with_the_stage_by_all_pairs(spark, monkeypatch):
-    """The brute force of test_pipeline, with all pairs of shingle sets in place of four bits."""
-    from kontor.llm import langid
-    from tests.llm import test_pipeline as whole
-
-    def kept_by_pairs(ids, texts):
-        least = brute_kept(list(zip(ids, texts)))
-        return {i: i if i in least else None for i in ids}
-
-    monkeypatch.setattr(whole, "brute_fingerprint", lambda text: text)
-    monkeypatch.setattr(whole, "brute_components", kept_by_pairs)
-    docs = spark.read.parquet(f"{whole.SF}/documents.parquet")
-    got = whole.Counter((r["doc_id"], tuple(r["token_ids"])) for r in corpus_pipeline.run(spark, whole.SF).collect())
-    assert got == whole.brute_pipeline([r.asDict() for r in docs.collect()], langid.fit(docs))

@@ -6,11 +6,13 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from kontor.llm import bpe, langid, mixing
+from kontor.llm import bpe, langid, mixing, scratch
 from kontor.llm import queries as Q
-from tests.llm.test_documents import brute_components, brute_fingerprint, brute_targets
+from tests.llm.test_documents import brute_targets
+from tests.llm.test_near_copies import brute_kept
 
 SF = "/root/testdata/sf0.001"
 
@@ -21,14 +23,14 @@ def brute_pipeline(rows, model):
     import tiktoken
 
     rows = [r for r in rows if (found := langid.judge(r["text"], model))[0] != "und" and found[1] >= 0.2]
-    label = brute_components([r["doc_id"] for r in rows], [brute_fingerprint(r["text"]) for r in rows])
-    rows = [r for r in rows if label[r["doc_id"]] == r["doc_id"]]
+    least = brute_kept([(r["doc_id"], r["text"]) for r in rows])
+    rows = [r for r in rows if r["doc_id"] in least]
     size = {r["doc_id"]: len(re.findall(r"[^\x20\x09-\x0D]+", r["text"])) for r in rows}
     whole = Counter()
     for r in rows:
         whole[r["source"]] += size[r["doc_id"]]
     target, before, copies = brute_targets(whole), Counter(), {}
-    for r in sorted(rows, key=lambda r: (hashlib.md5(str(r["doc_id"]).encode()).hexdigest(), size[r["doc_id"]])):
+    for r in sorted(rows, key=lambda r: hashlib.md5(f"{r['doc_id']} {hashlib.md5(r['text'].encode()).hexdigest()}".encode()).hexdigest()):
         s, n = r["source"], size[r["doc_id"]]
         copies[r["doc_id"]] = sum(2 * (before[s] + lap * whole[s]) + n <= 2 * target[s] for lap in range(2))
         before[s] += n
@@ -53,13 +55,25 @@ def test_stages_return_documents(spark):
 
 
 def test_training_order(spark, docs):
-    """Rows lie in the order of their positions: the heaviest sources come earlier on average."""
+    """Rows lie in the order of their positions, and the pipeline delivers them in it."""
     plan = mixing.mix(docs).collect()
     rows = [r["doc_id"] for r in mixing.arranged(docs).collect()]
     place = sorted((p, r["doc_id"]) for r in plan for p in r["positions"])
-    assert Counter(rows) == Counter(k for _, k in place)
-    first = {k: n for n, k in reversed(list(enumerate(rows)))}
-    assert all(first[place[0][1]] <= first[k] for k in rows[:1])
+    assert len({p for p, _ in place}) == len(place) and rows == [k for _, k in place]
+    table = scratch.written(mixing.arranged(docs), "mixture")
+    found = corpus_pipeline.encode_tokens(spark, table, "").collect()
+    assert [r["doc_id"] for r in found] == rows and all(r["exact"] for r in found)
+    assert sorted(r["position"] for r in found) == [r["position"] for r in found] and len({r["position"] for r in found}) == len(rows)
+
+
+def test_pipeline_of_odd_tables(spark, docs, no_docs, tmp_path):
+    """Null ids and texts, repeats, very long texts, extra columns with clashing names; and nothing at all."""
+    rows = docs.withColumn("doc_id", F.when(F.col("doc_id") % 4 == 0, None).otherwise(F.col("doc_id")))
+    rows.union(rows).withColumn("position", F.lit("own")).write.parquet(str(tmp_path / "a" / "documents.parquet"))
+    found = corpus_pipeline.run(spark, str(tmp_path / "a")).collect()
+    assert found and all(r["exact"] for r in found) and any(r["doc_id"] is None for r in found)
+    no_docs.write.parquet(str(tmp_path / "b" / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "b")).collect() == []
 
 
 @pytest.mark.parametrize("name", sorted(Q.ORACLE_SQL))
