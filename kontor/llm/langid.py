@@ -36,7 +36,7 @@ SAMPLE_ROWS, LANGUAGES = 2000, 256
 #: Slots of the filter (a power of two) and hashes of an n-gram.
 SLOTS, HASHES = 1 << 20, 3
 #: Code points handled at once; results do not depend on it.
-PIECE = 1 << 20
+PIECE = 1 << 17
 
 _MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
