@@ -6,14 +6,18 @@ ones before it in the bitmap (its rank), which a directory of counts every 512 b
 of any document, are read without decoding what comes before.
 
 Writing: documents are range-partitioned and sorted by key, encoded as they stream by, and written as files of about
-FILE_TOKENS ids, under names that follow the order of keys. A file appears under its name only when it is complete, and
-a task that runs again writes the same bytes. Ids are encoded once: the texts are what is shuffled. A manifest, one row
-for each file, gives by its running sum the place of each file in the whole.
-
-Encoding uses the model of the tokenizers library word by word, each worker remembering up to CACHE_WORDS words; texts
-that spell a special token are encoded by the library as a whole.
-
-Defined results: a null or empty text has just the end id; a null key comes first; repeated rows stay, ordered by text;
+FILE_TOKENS ids, under names that follow the order of keys. A file appears under its name only when it is complete; its
+name is that of one attempt of a task, and the manifest, one row for each file of the attempts that counted, decides which
+files there are. Ids are encoded once: the texts are what is shuffled. The running sum of the manifest gives the place of
+each file in the whole.
+
+Encoding uses the model of the tokenizers library word by word, each worker remembering up to CACHE_WORDS words.
+Normalising and splitting is done here, for characters that this does just as the library, which is asked the first time
+that a worker meets a character. Texts with any other character, texts that are not in normal form, and texts that spell a
+special token are encoded by the library as a whole.
+
+Defined results: a null or empty text has just the end id; a null key comes first; rows that repeat a key stay, ordered by
+a hash of their texts, by which a hot key is spread over ranges, too;
 columns other than key and text are not read; an empty table gives no file and an empty result.
 """
 
@@ -65,22 +69,51 @@ class WordEncoder(dict):
         self.model = self.whole.model
         self.letters = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        #: Characters that were compared with the library: those that it treats alike, and the others.
+        self.alike, self.other = {chr(c) for c in range(128)}, set()
 
     def __missing__(self, word: str) -> bytes:
-        spelt = word.encode("utf-8").decode("latin-1").translate(self.letters)
-        self[word] = found = np.array([t.id for t in self.model.tokenize(spelt)], "<u4").tobytes()
+        self[word] = found = np.array([t.id for t in self.model.tokenize(self._spelt(word))], "<u4").tobytes()
         return found
 
-    def encode(self, text: str) -> bytes:
-        """The ids of a whole text, as the library gives them without adding special tokens."""
+    def _spelt(self, word: str) -> str:
+        return word.encode("utf-8").decode("latin-1").translate(self.letters)
+
+    def _words(self, text: str) -> list[str]:
+        """The words of a text in normal form. The library lowers letter by letter, without the final form of sigma."""
+        return pretokens.split_words(text.replace("Σ", "σ").lower())
+
+    def _compare(self, characters: set[str]) -> None:
+        """Sorts new characters by whether splitting a context of each is what the library does."""
         import unicodedata
 
-        if any(s in text for s in self.special):
+        for c in characters:
+            context = f"{c} a{c}b {c}{c} 1{c}2 !{c}? 's{c} '{c}s"
+            same = unicodedata.category(c) != "Cn" and unicodedata.is_normalized("NFC", context)
+            if same:
+                normal = self.whole.normalizer.normalize_str(context)
+                same = [self._spelt(w) for w in self._words(context)] == [w for w, _ in self.whole.pre_tokenizer.pre_tokenize_str(normal)]
+            (self.alike if same else self.other).add(c)
+
+    def _own(self, text: str) -> bool:
+        """Whether the words of a text are split here."""
+        import unicodedata
+
+        if not text.isascii():
+            found = set(text)
+            if not found <= self.alike:
+                self._compare(found - self.alike - self.other)
+                if not found.isdisjoint(self.other):
+                    return False
+            if not unicodedata.is_normalized("NFC", text):
+                return False
+        return not any(s in text for s in self.special)
+
+    def encode(self, text: str) -> bytes:
+        """The ids of a whole text, as the library gives them without adding special tokens."""
+        if not self._own(text):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if not text.isascii() and not unicodedata.is_normalized("NFC", text):
-            text = unicodedata.normalize("NFC", text)
-        # The library lowers letter by letter, without the final form of sigma.
-        found = b"".join(map(self.__getitem__, pretokens.split_words(text.replace("Σ", "σ").lower())))
+        found = b"".join(map(self.__getitem__, self._words(text)))
         if len(self) > CACHE_WORDS:
             self.clear()
         return found
@@ -175,7 +208,7 @@ def _store(folder: str, name: str, data: bytes) -> None:
 
     store, at = fs.FileSystem.from_uri(folder)
     store.create_dir(at, recursive=True)
-    half = f"{at}/.{name}.{TaskContext.get().taskAttemptId()}"
+    half = f"{at}/.{name}"
     with store.open_output_stream(half) as out:
         out.write(data)
     store.move(half, f"{at}/{name}")
@@ -192,7 +225,7 @@ def write_files(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "
         keys, pieces, tokens = [], [], 0
 
         def closed() -> pa.RecordBatch:
-            name = f"{part:08d}-{seq:06d}.dac"
+            name = f"{part:08d}-{seq:06d}-{TaskContext.get().taskAttemptId()}.dac"
             lengths = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
             _store(folder, name, pack(keys, lengths, np.frombuffer(b"".join(pieces), "<u4")))
             return pa.RecordBatch.from_pydict({"file": [name], "part": [part], "seq": [seq], "docs": [len(keys)], "tokens": [int(lengths.sum())]})
@@ -208,7 +241,8 @@ def write_files(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "
         if keys:
             yield closed()
 
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).repartitionByRange(parts, "key").sortWithinPartitions("key", "text")
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(text).alias("hash"), F.col(text).alias("text"))
+    rows = rows.repartitionByRange(parts, "key", "hash").sortWithinPartitions("key", "hash").select("key", "text")
     return scratch.written(rows.mapInArrow(write, "file string, part long, seq long, docs long, tokens long"), "dac_manifest")
 
 
