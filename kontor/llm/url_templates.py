@@ -2,14 +2,16 @@
 
 Given rules decide first. For every other URL, the tree of its host does. Paths become shapes (runs of digits and long
 hexadecimal strings are variable by form); level by level, a node with many children gives up its rare ones for a
-wildcard. Templates under one parent whose labelled rates differ by less than chance would make them are merged into one
-branch. A branch's purity is its labelled rate of bad pages, smoothed by the whole table's rate; a template is rejected
-when its branch has LEAST labels or more and its purity reaches LIMIT.
+wildcard. Labelled templates under one parent, by ascending rate, join the branch before them unless their rates differ
+by more than chance would make the pooled ones. Templates without labels join the branch of their siblings where there is
+only one, and are a branch of their own otherwise, so that they never tie branches together. A branch's purity is its
+labelled rate of bad pages, smoothed by the whole table's rate; a template is rejected when its branch has LEAST labels
+or more and its purity reaches LIMIT.
 
 Scale: pages are combined to one row for each host and shape, in the map first, so that a host with a third of all pages
-is as many rows as it has shapes. The tree grows over that table by joins on (host, prefix), one round for each level,
-through written tables whose joins adaptive execution can split. Children that stay apart are bounded by CHILDREN and
-1 / SHARE, and so is each window over siblings.
+is as many rows as it has shapes. The tree grows over that table by joins on (host, prefix), one round for each level
+that has crowded nodes, however deep, through written tables whose joins adaptive execution can split. Siblings are at
+most CHILDREN once a level is done, and so is each list of them.
 
 Defined results: a null url, or one without ://, has an empty host and path; hosts without labels reject
 nothing; repeated rows are judged each and count as often as they occur; null keys are judged like any
@@ -20,15 +22,13 @@ from __future__ import annotations
 
 from string import ascii_lowercase, ascii_uppercase
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kontor.llm import scratch
 
 #: (verdict, host and path): a rule fits its host and all subdomains where the path starts with its path.
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
-#: Levels of the tree; deeper segments form the last one.
-DEPTH = 4
 #: A node with more children gives up those below this share of its pages.
 CHILDREN, SHARE = 32, 0.05
 #: Weight of the prior, standard errors within which branches merge, and the purity at which a branch is rejected.
@@ -57,52 +57,80 @@ def ruled(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 def shape(path: Column) -> Column:
     """The segments of a path, variable ones by form replaced; a slash at the end stays with its segment."""
     parts = F.split(F.regexp_replace(F.substring(path, 2, 1 << 30), r"(?<=[^/])/\z", "\u0001"), "/", -1)
-    rest = F.array(F.array_join(F.slice(parts, F.lit(DEPTH), F.greatest(F.size(parts), F.lit(1))), "/"))
-    folded = F.when(F.size(parts) <= DEPTH, parts).otherwise(F.concat(F.slice(parts, 1, DEPTH - 1), rest))
-    return F.transform(folded, lambda s: F.translate(F.regexp_replace(F.regexp_replace(s, r"\b[0-9A-Fa-f-]{16,}\b", "%"), "[0-9]+", "#"), "\u0001", "/"))
+    return F.transform(parts, lambda s: F.translate(F.regexp_replace(F.regexp_replace(s, r"\b[0-9A-Fa-f-]{16,}\b", "%"), "[0-9]+", "#"), "\u0001", "/"))
 
 
-def _prefix(level: int) -> Column:
-    return F.array_join(F.slice("template", F.lit(1), F.lit(level)), "/")
+def _prefix(level: int | Column) -> Column:
+    return F.xxhash64(F.slice("template", F.lit(1), F.lit(level)))
+
+
+def _children(found: DataFrame, first: int) -> DataFrame:
+    """(host, level, prefix, child, pages) of the levels from `first`."""
+    levels = F.when(F.size("template") > first, F.sequence(F.lit(first), F.size("template") - 1))
+    rows = found.select("host", "template", "pages", F.explode(levels).alias("level"))
+    rows = rows.select("host", "level", _prefix(F.col("level")).alias("prefix"), F.get("template", F.col("level")).alias("child"), "pages")
+    return rows.groupBy("host", "level", "prefix", "child").agg(F.sum("pages").alias("pages"))
 
 
 def templates(shapes: DataFrame) -> DataFrame:
     """(host, shape, pages, labelled, bad) with `template`: the shape with wildcards for variable children."""
-    found = scratch.written(shapes.withColumn("template", F.col("shape")), "shapes")
-    for level in range(DEPTH):
-        child = F.get("template", F.lit(level))
-        there = found.where(F.size("template") > level).select("host", _prefix(level).alias("prefix"), child.alias("child"), "pages")
-        children = scratch.written(there.groupBy("host", "prefix", "child").agg(F.sum("pages").alias("pages")), "children")
-        many = children.groupBy("host", "prefix").agg(F.count("*").alias("n"), F.sum("pages").alias("of")).where(F.col("n") > CHILDREN)
+    found, level = scratch.written(shapes.withColumn("template", F.col("shape")), "shapes"), 0
+    while True:
+        children = scratch.written(_children(found, level), "children")
+        many = children.groupBy("host", "level", "prefix").agg(F.count("*").alias("n"), F.sum("pages").alias("of")).where(F.col("n") > CHILDREN)
         many = scratch.written(many, "nodes")
-        if many.isEmpty():
-            continue
-        rare = children.join(many, ["host", "prefix"]).where((F.col("pages") < SHARE * F.col("of")) & (F.col("child") != WILDCARD))
-        rare = scratch.written(rare.select("host", "prefix", "child", F.lit(True).alias("rare")), "rare")
-        rows = found.withColumn("prefix", _prefix(level)).withColumn("child", child).join(rare, ["host", "prefix", "child"], "left")
+        # Wildcards of a level change what the levels below it hold: the uppermost one comes first.
+        if (level := many.agg(F.min("level")).first()[0]) is None:
+            return found
+        rare = children.join(many.where(F.col("level") == level), ["host", "level", "prefix"]).where((F.col("pages") < SHARE * F.col("of")) & (F.col("child") != WILDCARD))
+        rare = rare.select("host", "prefix", "child", F.lit(True).alias("rare"))
+        rows = found.withColumn("prefix", _prefix(level)).withColumn("child", F.get("template", F.lit(level))).join(rare, ["host", "prefix", "child"], "left")
         wild = F.transform("template", lambda s, i: F.when((i == level) & F.col("rare"), F.lit(WILDCARD)).otherwise(s))
         found = scratch.written(rows.withColumn("template", wild).drop("prefix", "child", "rare"), "shapes")
-    return found
+        level += 1
+
+
+_BRANCH = "struct<labelled: bigint, bad: bigint, members: array<array<string>>>"
+
+
+def _merged(prior: float) -> Column:
+    """Of `known`, the labelled siblings by ascending rate (rate, template, labelled, bad): branches (labelled, bad, members)."""
+
+    def rate(x: Column) -> Column:
+        return (x["bad"] + F.lit(PRIOR * prior)) / (x["labelled"] + F.lit(PRIOR))
+
+    def alone(x: Column) -> Column:
+        return F.struct(x["labelled"].alias("labelled"), x["bad"].alias("bad"), F.array(x["template"]).alias("members"))
+
+    def step(done: Column, x: Column) -> Column:
+        last = F.element_at(done, -1)
+        w, v = x["labelled"] + F.lit(PRIOR), last["labelled"] + F.lit(PRIOR)
+        pooled = (rate(x) * w + rate(last) * v) / (w + v)
+        apart = rate(x) - rate(last) > ERRORS * F.sqrt(pooled * (1 - pooled) * (1 / w + 1 / v))
+        both = F.struct((last["labelled"] + x["labelled"]).alias("labelled"), (last["bad"] + x["bad"]).alias("bad"), F.concat(last["members"], F.array(x["template"])).alias("members"))
+        joined = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(both))
+        return F.when((F.size(done) == 0) | F.coalesce(apart, F.lit(True)), F.concat(done, F.array(alone(x)))).otherwise(joined)
+
+    return F.aggregate("known", F.array().cast(f"array<{_BRANCH}>"), step)
 
 
 def branches(found: DataFrame) -> DataFrame:
-    """(host, template, branch, purity, known): sibling templates with their merged branch and its labels."""
+    """(host, template, branch, purity, known): sibling templates with their merged branch (0: no labels, more than one branch) and its labels."""
     rows = found.groupBy("host", "template").agg(*(F.sum(c).alias(c) for c in ("pages", "labelled", "bad")))
-    rows = scratch.written(rows.withColumn("parent", F.array_join(F.slice("template", F.lit(1), F.greatest(F.size("template") - 1, F.lit(0))), "/")), "templates")
+    rows = scratch.written(rows.withColumn("parent", F.slice("template", F.lit(1), F.greatest(F.size("template") - 1, F.lit(0)))), "templates")
     whole = rows.agg(F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"), F.coalesce(F.sum("labelled"), F.lit(0)).alias("labelled")).first()
     prior = (whole["bad"] + 1) / (whole["labelled"] + 2)
-    weight = F.col("labelled") + F.lit(PRIOR)
-    siblings = Window.partitionBy("host", "parent")
-    order = siblings.orderBy("rate", "template")
-    rows = rows.withColumn("rate", (F.col("bad") + F.lit(PRIOR * prior)) / weight).withColumn("weight", weight)
-    rows = rows.withColumn("left_rate", F.lag("rate").over(order)).withColumn("left_weight", F.lag("weight").over(order))
-    pooled = (F.col("rate") * F.col("weight") + F.col("left_rate") * F.col("left_weight")) / (F.col("weight") + F.col("left_weight"))
-    error = F.sqrt(pooled * (1 - pooled) * (1 / F.col("weight") + 1 / F.col("left_weight")))
-    apart = F.when(F.col("left_rate").isNull() | (F.col("rate") - F.col("left_rate") > ERRORS * error), 1).otherwise(0)
-    rows = rows.withColumn("apart", apart).withColumn("branch", F.sum("apart").over(order))
-    merged = Window.partitionBy("host", "parent", "branch")
-    purity = (F.sum("bad").over(merged) + F.lit(PRIOR * prior)) / (F.sum("labelled").over(merged) + F.lit(PRIOR))
-    return rows.withColumn("purity", purity).withColumn("known", F.sum("labelled").over(merged)).select("host", "template", "branch", "purity", "known")
+    rate = (F.col("bad") + F.lit(PRIOR * prior)) / (F.col("labelled") + F.lit(PRIOR))
+    labelled = F.when(F.col("labelled") > 0, F.struct(rate.alias("rate"), "template", "labelled", "bad"))
+    siblings = rows.groupBy("host", "parent").agg(F.sort_array(F.collect_list(labelled)).alias("known"), F.collect_list(F.when(F.col("labelled") == 0, F.col("template"))).alias("unknown"))
+    siblings = siblings.withColumn("merged", _merged(prior))
+    one, nothing = F.get("merged", F.lit(0)), F.lit(0).cast("long")
+    joined = F.struct(one["labelled"].alias("labelled"), one["bad"].alias("bad"), F.concat(one["members"], F.col("unknown")).alias("members"))
+    apart = F.struct(nothing.alias("labelled"), nothing.alias("bad"), F.col("unknown").alias("members"))
+    every = F.when(F.size("merged") == 1, F.array(F.lit(None).cast(_BRANCH), joined.cast(_BRANCH))).otherwise(F.concat(F.array(apart.cast(_BRANCH)), F.col("merged")))
+    found = siblings.select("host", F.posexplode(every).alias("branch", "own")).where("own IS NOT NULL")
+    purity = (F.col("own.bad") + F.lit(PRIOR * prior)) / (F.col("own.labelled") + F.lit(PRIOR))
+    return found.select("host", F.explode("own.members").alias("template"), "branch", purity.alias("purity"), F.col("own.labelled").alias("known"))
 
 
 def judged(pages: DataFrame, labels: DataFrame, key: str = "page_id", url: str = "url", rules=RULES, label_key: str | None = None) -> DataFrame:
@@ -135,9 +163,13 @@ def op4_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "host", "path", "rule", "verdict", "template", "purity")
 
 
+#: Levels of the tree in the SQL, which cannot loop: more than the paths of `pages` have.
+SQL_LEVELS = 6
+
+
 def _level_sql(level: int) -> str:
     """The steps of one level of the tree: t{level} becomes t{level + 1}."""
-    prefix = f"coalesce(array_to_string(template[1:{level}], '/'), '')"
+    prefix = f"template[1:{level}]"
     return f"""
 children{level} AS (SELECT host, {prefix} AS prefix, template[{level + 1}] AS child, sum(pages) AS pages FROM t{level} WHERE len(template) > {level} GROUP BY ALL),
 nodes{level} AS (SELECT host, prefix, sum(pages) AS whole FROM children{level} GROUP BY host, prefix HAVING count(*) > {CHILDREN}),
@@ -153,7 +185,7 @@ def _rule_sql(answer: int) -> str:
 
 
 OP4_SQL = rf"""
-WITH parsed AS (
+WITH RECURSIVE parsed AS (
   SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), '{ascii_uppercase}', '{ascii_lowercase}') AS host,
          coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path
   FROM pages
@@ -163,34 +195,41 @@ WITH parsed AS (
   FROM parsed
 ), shaped AS (
   SELECT page_id, host, path, rule, said, number,
-         list_transform(CASE WHEN len(p) <= {DEPTH} THEN p ELSE list_concat(p[1:{DEPTH - 1}], [array_to_string(p[{DEPTH}:], '/')]) END,
-           lambda s: replace(regexp_replace(regexp_replace(s, '\b[0-9A-Fa-f-]{{16,}}\b', '%', 'g'), '[0-9]+', '#', 'g'), chr(1), '/')) AS shape
+         list_transform(p, lambda s: replace(regexp_replace(regexp_replace(s, '\b[0-9A-Fa-f-]{{16,}}\b', '%', 'g'), '[0-9]+', '#', 'g'), chr(1), '/')) AS shape
   FROM parts
 ), known AS (
   SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL AND (quality = 0 OR toxic = 1) IS NOT NULL GROUP BY doc_id
 ), t0 AS (
   SELECT s.host, s.shape, count(*) AS pages, count(k.doc_id) AS labelled, coalesce(sum(k.bad), 0) AS bad, s.shape AS template
   FROM shaped s LEFT JOIN known k ON k.doc_id = s.number GROUP BY s.host, s.shape
-), {"".join(map(_level_sql, range(DEPTH)))}
+), {"".join(map(_level_sql, range(SQL_LEVELS)))}
 templates AS (
-  SELECT host, template, sum(labelled) AS labelled, sum(bad) AS bad, coalesce(array_to_string(template[1:len(template) - 1], '/'), '') AS parent FROM t{DEPTH} GROUP BY host, template
+  SELECT host, template, sum(labelled) AS labelled, sum(bad) AS bad, template[1:len(template) - 1] AS parent FROM t{SQL_LEVELS} GROUP BY host, template
 ), whole AS (
   SELECT CAST(coalesce(sum(bad), 0) + 1 AS DOUBLE) / CAST(coalesce(sum(labelled), 0) + 2 AS DOUBLE) AS prior FROM templates
-), rated AS (
-  SELECT t.*, (CAST(bad AS DOUBLE) + CAST({PRIOR} AS DOUBLE) * prior) / (CAST(labelled AS DOUBLE) + CAST({PRIOR} AS DOUBLE)) AS rate, CAST(labelled AS DOUBLE) + CAST({PRIOR} AS DOUBLE) AS weight, prior FROM templates t, whole
-), beside AS (
-  SELECT *, lag(rate) OVER (PARTITION BY host, parent ORDER BY rate, template) AS left_rate, lag(weight) OVER (PARTITION BY host, parent ORDER BY rate, template) AS left_weight FROM rated
-), pooled AS (
-  SELECT *, (rate * weight + left_rate * left_weight) / (weight + left_weight) AS pooled_rate FROM beside
-), apart AS (
-  SELECT *, CASE WHEN left_rate IS NULL OR rate - left_rate > CAST({ERRORS} AS DOUBLE) * sqrt(pooled_rate * (1 - pooled_rate) * (1 / weight + 1 / left_weight)) THEN 1 ELSE 0 END AS apart FROM pooled
-), branches AS (
-  SELECT *, sum(apart) OVER (PARTITION BY host, parent ORDER BY rate, template) AS branch FROM apart
+), ordered AS (
+  SELECT t.*, prior, row_number() OVER (PARTITION BY host, parent ORDER BY (CAST(bad AS DOUBLE) + CAST({PRIOR} AS DOUBLE) * prior) / (CAST(labelled AS DOUBLE) + CAST({PRIOR} AS DOUBLE)), template) AS n
+  FROM templates t, whole WHERE labelled > 0
+), folded AS (
+  SELECT host, parent, template, n, CAST(1 AS BIGINT) AS branch, CAST(labelled AS DOUBLE) AS in_branch, CAST(bad AS DOUBLE) AS bad_in_branch FROM ordered WHERE n = 1
+  UNION ALL
+  SELECT host, parent, template, n, branch + apart, labelled + CASE WHEN apart = 1 THEN 0 ELSE in_branch END, bad + CASE WHEN apart = 1 THEN 0 ELSE bad_in_branch END
+  FROM (
+    SELECT *, CASE WHEN rate - last_rate > CAST({ERRORS} AS DOUBLE) * sqrt((rate * w + last_rate * v) / (w + v) * (1 - (rate * w + last_rate * v) / (w + v)) * (1 / w + 1 / v)) THEN 1 ELSE 0 END AS apart
+    FROM (
+      SELECT o.host, o.parent, o.template, o.n, f.branch, f.in_branch, f.bad_in_branch, CAST(o.labelled AS DOUBLE) AS labelled, CAST(o.bad AS DOUBLE) AS bad, o.labelled + CAST({PRIOR} AS DOUBLE) AS w, f.in_branch + CAST({PRIOR} AS DOUBLE) AS v,
+             (o.bad + CAST({PRIOR} AS DOUBLE) * o.prior) / (o.labelled + CAST({PRIOR} AS DOUBLE)) AS rate, (f.bad_in_branch + CAST({PRIOR} AS DOUBLE) * o.prior) / (f.in_branch + CAST({PRIOR} AS DOUBLE)) AS last_rate
+      FROM folded f JOIN ordered o ON o.host = f.host AND o.parent = f.parent AND o.n = f.n + 1
+    )
+  )
+), named AS (
+  SELECT t.host, t.parent, t.template, t.labelled, t.bad, coalesce(f.branch, CASE WHEN b.most = 1 THEN 1 ELSE 0 END) AS branch
+  FROM templates t LEFT JOIN folded f ON f.host = t.host AND f.template = t.template LEFT JOIN (SELECT host, parent, max(branch) AS most FROM folded GROUP BY host, parent) b ON b.host = t.host AND b.parent = t.parent
 ), judged AS (
   SELECT host, template, sum(labelled) OVER (PARTITION BY host, parent, branch) AS known,
          (CAST(sum(bad) OVER (PARTITION BY host, parent, branch) AS DOUBLE) + CAST({PRIOR} AS DOUBLE) * prior) / (CAST(sum(labelled) OVER (PARTITION BY host, parent, branch) AS DOUBLE) + CAST({PRIOR} AS DOUBLE)) AS purity
-  FROM branches
+  FROM named, whole
 )
 SELECT s.page_id, s.host, s.path, s.rule, coalesce(s.said, CASE WHEN j.purity >= {LIMIT} AND j.known >= {LEAST} THEN 'block' ELSE 'allow' END) AS verdict, '/' || array_to_string(t.template, '/') AS template, j.purity
-FROM shaped s JOIN t{DEPTH} t ON t.host = s.host AND t.shape = s.shape JOIN judged j ON j.host = t.host AND j.template = t.template
+FROM shaped s JOIN t{SQL_LEVELS} t ON t.host = s.host AND t.shape = s.shape JOIN judged j ON j.host = t.host AND j.template = t.template
 """
