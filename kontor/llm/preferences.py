@@ -9,14 +9,18 @@ anyway; chosen and rejected meet by pair. Prefix, rendering and masks are array
 
 Defined results: turns are ordered by number, then role, then text, null first; a null role or text renders as empty and equals
 another null, not an empty one; pairs that do not differ have empty completions and no spans; a pair with only one side
-is none; columns other than those named are not read; empty tables give an empty one.
+is none, and so are turns with a null conversation, which belong to none; columns other than those named are not read;
+empty tables give an empty one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kontor.llm import scratch
+from kontor.llm.fingerprints import ranges
+
 HEAD, MIDDLE, END = "<|", "|>\n", "<|end|>\n"
 TRAINED = "assistant"
 
@@ -77,20 +81,25 @@ def preference_rows(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     return formatted(a.join(b, "key"))
 
 
-def swapped_answers(turns: DataFrame) -> DataFrame:
-    """(key, chosen, rejected) of a table without preferences: chosen ends with a conversation's last answer, rejected with that of its neighbour.
+def variants(turns: DataFrame, key: str = "conv_id") -> DataFrame:
+    """(key, chosen, rejected) of a table without preferences, from every conversation with an answer (keys are whole numbers).
 
-    Conversations 2 i and 2 i + 1 are neighbours; a conversation without answer or neighbour's answer gives no pair.
+    Chosen is the whole conversation. Rejected leaves it at one of its answers, the (key mod number of answers)-th from 0,
+    and goes on as the answered conversation with the next greater key does from its first answer on; after the last key
+    comes the first. So what both share ends at any turn, and later if turns happen to be equal.
     """
-    rows = conversations(turns)
-    last = F.size("turns") - F.array_position(F.transform(F.reverse("turns"), lambda t: t["role"].eqNullSafe(F.lit(TRAINED))), F.lit(True)).cast("int") + 1
-    answered = rows.withColumn("last", last).where(F.col("last") <= F.size("turns"))
-    other = answered.select(F.col("key").bitwiseXOR(F.lit(1)).alias("key"), F.get("turns", F.col("last") - 1).alias("answer"))
-    return answered.join(other, "key").select(
-        "key",
-        F.slice("turns", F.lit(1), F.col("last")).alias("chosen"),
-        F.concat(F.slice("turns", F.lit(1), F.col("last") - 1), F.array("answer")).alias("rejected"),
-    )
+    rows = conversations(turns, key)
+    places = F.filter(F.sequence(F.lit(1), F.size("turns")), lambda i: F.get("turns", i - 1)["role"].eqNullSafe(F.lit(TRAINED)))
+    rows = scratch.written(rows.withColumn("answers", places).where(F.size("answers") > 0), "conversations")
+    bucket, _ = ranges(rows.select("key"), "key")
+    order = rows.select("key", bucket.alias("range"))
+    firsts = order.groupBy("range").agg(F.min("key").alias("first"))
+    up = Window.orderBy("range")
+    beyond = firsts.select("range", F.coalesce(F.lead("first").over(up), F.first("first").over(up)).alias("beyond"))
+    order = order.withColumn("after", F.lead("key").over(Window.partitionBy("range").orderBy("key"))).join(beyond, "range").select("key", F.coalesce("after", "beyond").alias("after"))
+    tails = rows.select(F.col("key").alias("after"), F.slice("turns", F.get("answers", F.lit(0)), F.size("turns")).alias("tail"))
+    at = F.get("answers", F.pmod(F.col("key"), F.size("answers")).cast("int"))
+    return rows.join(order, "key").join(tails, "after").select("key", F.col("turns").alias("chosen"), F.concat(F.slice("turns", F.lit(1), at - 1), "tail").alias("rejected"))
 
 
 def _spelt(spans: Column) -> Column:
@@ -98,33 +107,40 @@ def _spelt(spans: Column) -> Column:
 
 
 def op5_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = formatted(swapped_answers(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+    found = formatted(variants(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
     masks = [_spelt(F.col(f"{side}_mask")).alias(f"{side}_mask") for side in ("chosen", "rejected")]
     return found.select(F.col("key").alias("conv_id"), "prompt", "prompt_turns", "chosen", "rejected", *masks)
 
 
-OP5_SQL = """
-WITH numbered AS (
-  SELECT conv_id, role, text, coalesce(role, '') AS r, coalesce(text, '') AS t,
-         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS n
-  FROM conversations WHERE conv_id IS NOT NULL
-), ends AS (
-  SELECT conv_id, max(n) AS n FROM numbered WHERE role = 'assistant' GROUP BY conv_id
-), answers AS (
-  SELECT e.conv_id, e.n, x.text, x.t FROM ends e JOIN numbered x ON x.conv_id = e.conv_id AND x.n = e.n
+def _rendered_sql(turns: str) -> str:
+    return f"array_to_string(list_transform({turns}, lambda t: '<|' || coalesce(t.role, '') || '|>' || chr(10) || coalesce(t.text, '') || '<|end|>' || chr(10)), '')"
+
+
+def _mask_sql(turns: str) -> str:
+    size = "length(coalesce(t.role, '')) + length(coalesce(t.text, '')) + 13"
+    before = f"coalesce(list_sum(list_transform({turns}[1:i - 1], lambda t: {size})), 0)"
+    own = f"list_filter(range(1, len({turns}) + 1), lambda i: {turns}[i].role = 'assistant')"
+    return f"array_to_string(list_transform({own}, lambda i: CAST(CAST({before} + 14 AS BIGINT) AS VARCHAR) || '-' || CAST(CAST({before} + 22 + length(coalesce({turns}[i].text, '')) AS BIGINT) AS VARCHAR)), ',')"
+
+
+OP5_SQL = f"""
+WITH talks AS (
+  SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), answered AS (
+  SELECT *, list_filter(range(1, len(turns) + 1), lambda i: turns[i].role = 'assistant') AS answers FROM talks
+), chained AS (
+  SELECT *, coalesce(lead(conv_id) OVER (ORDER BY conv_id), min(conv_id) OVER ()) AS after FROM answered WHERE len(answers) > 0
 ), pairs AS (
-  SELECT a.conv_id, a.n, a.text IS NOT DISTINCT FROM b.text AS same, a.t AS mine, b.t AS other
-  FROM answers a JOIN answers b ON b.conv_id = xor(a.conv_id, 1)
-), prompts AS (
-  SELECT p.conv_id, p.same, p.mine, p.other, CAST(CASE WHEN p.same THEN p.n ELSE p.n - 1 END AS INTEGER) AS prompt_turns,
-         coalesce(string_agg('<|' || x.r || '|>' || chr(10) || x.t || '<|end|>' || chr(10), '' ORDER BY x.n), '') AS prompt
-  FROM pairs p LEFT JOIN numbered x ON x.conv_id = p.conv_id AND (x.n < p.n OR (p.same AND x.n = p.n))
-  GROUP BY ALL
+  SELECT a.conv_id, a.turns AS chosen, list_concat(a.turns[1:a.answers[a.conv_id % len(a.answers) + 1] - 1], b.turns[b.answers[1]:]) AS rejected
+  FROM chained a JOIN chained b ON b.conv_id = a.after
+), shared AS (
+  SELECT *, CAST(coalesce(list_min(list_filter(range(1, greatest(len(chosen), len(rejected)) + 1), lambda i: i > len(chosen) OR i > len(rejected) OR chosen[i] IS DISTINCT FROM rejected[i])) - 1, len(chosen)) AS INTEGER) AS prompt_turns
+  FROM pairs
+), cut AS (
+  SELECT conv_id, prompt_turns, chosen[1:prompt_turns] AS prompt, chosen[prompt_turns + 1:] AS chosen, rejected[prompt_turns + 1:] AS rejected FROM shared
 )
-SELECT conv_id, prompt, prompt_turns,
-       CASE WHEN same THEN '' ELSE '<|assistant|>' || chr(10) || mine || '<|end|>' || chr(10) END AS chosen,
-       CASE WHEN same THEN '' ELSE '<|assistant|>' || chr(10) || other || '<|end|>' || chr(10) END AS rejected,
-       CASE WHEN same THEN '' ELSE '14-' || CAST(22 + length(mine) AS VARCHAR) END AS chosen_mask,
-       CASE WHEN same THEN '' ELSE '14-' || CAST(22 + length(other) AS VARCHAR) END AS rejected_mask
-FROM prompts
+SELECT conv_id, {_rendered_sql("prompt")} AS prompt, prompt_turns, {_rendered_sql("chosen")} AS chosen, {_rendered_sql("rejected")} AS rejected,
+       {_mask_sql("chosen")} AS chosen_mask, {_mask_sql("rejected")} AS rejected_mask
+FROM cut
 """
