@@ -26,7 +26,7 @@ from kontor.llm.prefix import sums_before
 
 CACHE_WORDS = 1_000_000
 #: Lengths of a bucket.
-BUCKET = 1024
+BUCKET = 128
 
 
 class WordCounts(dict):
