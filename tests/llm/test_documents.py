@@ -17,23 +17,61 @@ def jaccard(a, b):
     return sum((a & b).values()) / most if most else 1.0
 
 
+def brute_sample(text, samples):
+    """Consistent weighted sampling word by word, with Python's own hashes and logarithms."""
+    import xxhash
+
+    def chained(word, x):
+        return xxhash.xxh64_intdigest(np.int32(x).tobytes(), xxhash.xxh64_intdigest(np.int64(word).tobytes(), 42))
+
+    counts = Counter(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
+    words = {np.uint64(xxhash.xxh64_intdigest(w.encode(), 42)).view(np.int64): n for w, n in counts.items()}
+    out = []
+    for k in range(samples):
+        best = None
+        for word, n in words.items():
+            one, two = chained(word, 2 * k), chained(word, 2 * k + 1)
+            u = lambda bits, width: ((bits & ((1 << width) - 1)) + 0.5) * 2.0**-width
+            r = -np.log(u(one, 32) * u(one >> 32, 32))
+            t = int(np.floor(np.log(n) / r + u(two >> 48, 16)))
+            a = np.log(-np.log(u(two, 24) * u(two >> 24, 24))) - r * (t + 1 - u(two >> 48, 16))
+            name = ((int(word) % (1 << 64) >> (k % 40)) ^ t) & ((1 << 24) - 1)
+            best = min(best or (np.inf, 0), (a, name))
+        out.append(f"{best[1]:06x}" if best else "000000")
+    return out
+
+
 def test_fingerprints(docs, texts):
-    got = {r["doc_id"]: r for r in fingerprints.edited_fingerprints(docs, samples=64).collect()}
-    plain = [t or "" for t in texts]
-    errors = []
+    """At the registered number of samples: each is that of brute force, and likeness estimates the similarity."""
+    n = fingerprints.SAMPLES
+    got = {r["doc_id"]: r for r in fingerprints.edited_fingerprints(docs).collect()}
+    plain, errors, same, equal = [t or "" for t in texts], [], defaultdict(set), []
     for i, text in enumerate(plain):
         row, after = got[3 * i], plain[i - 1]  # by descending id; after the last, the first
         m = len(text) // 3
         edited = text[: len(text) - m] + after[:m]
         assert row["n_chars"] == len(text) and row["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
         errors += [row["near_edited"] - jaccard(text, edited), row["near_next"] - jaccard(text, after)]
-    assert abs(np.mean(errors)) < 0.03 and np.sqrt(np.mean(np.square(errors))) < 0.08
-    same = defaultdict(set)
-    for i, text in enumerate(plain):
-        same[text].add(got[3 * i]["fingerprint"])
+        same[text].add(row["fingerprint"])
+        for x, side in ((text, "fingerprint"), (edited, "edited_fingerprint")):
+            equal += [a == row[side][6 * k : 6 * k + 6] for k, a in enumerate(brute_sample(x, n))]
+        assert row["near_edited"] == sum(row["fingerprint"][6 * k : 6 * k + 6] == row["edited_fingerprint"][6 * k : 6 * k + 6] for k in range(n)) / n
+    assert np.mean(equal) > 0.999  # the last bit of a logarithm may differ
+    assert abs(np.mean(errors)) < 0.03 and np.sqrt(np.mean(np.square(errors))) < 0.09
     assert all(len(s) == 1 for s in same.values())
 
 
+def test_fingerprints_of_hot_keys(docs, monkeypatch):
+    """A key, or none, that holds a third of all rows is dealt by text; results do not depend on the ranges."""
+    rows = docs.where("doc_id > 15").withColumn("doc_id", F.when(F.col("doc_id") % 2 == 0, 60).when(F.col("doc_id") % 5 == 0, None).otherwise(F.col("doc_id")))
+    one = Counter(fingerprints.edited_fingerprints(rows).collect())
+    for size, bounds in ((2, 128), (2, 2), (5, 3)):
+        monkeypatch.setattr(fingerprints, "RANGE_ROWS", size)
+        monkeypatch.setattr(fingerprints, "BOUNDS", bounds)
+        assert Counter(fingerprints.edited_fingerprints(rows).collect()) == one
+    assert fingerprints.ranges(rows.select("doc_id"), "doc_id")[1][60] > 1
+
+
 def test_fingerprints_in_many_ranges(docs, texts, monkeypatch):
     monkeypatch.setattr(fingerprints, "RANGE_ROWS", 5)
     one = {r["doc_id"]: r for r in fingerprints.edited_fingerprints(docs).collect()}

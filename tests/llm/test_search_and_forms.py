@@ -54,6 +54,26 @@ def test_top_k_prunes():
         assert [(-s, i) for i, s in zip(ids.tolist(), scores.tolist())] == want
 
 
+def test_top_k_reads_less_than_a_scan(spark):
+    """Components read of the table's vectors, by carried thresholds: less than 0.75 of a scan."""
+    rows = topk.quantised(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")).toPandas()
+    vectors = np.vstack(rows["v"])
+    block = topk.Block(rows["id"].to_numpy(), vectors)
+    asked = np.flatnonzero(rows["id"].to_numpy() % 20 == 0)
+    floors = [block.best(rows["id"][i], vectors[i], 20)[1][-1] for i in asked]
+    assert block.read < 0.75 * len(asked) * vectors.size
+    block.read = 0
+    for i, floor in zip(asked, floors):
+        assert len(block.best(rows["id"][i], vectors[i], 20, floor)[0]) == 20
+    assert block.read < 0.6 * len(asked) * vectors.size
+
+
+def test_top_k_of_repeated_queries(spark):
+    rows = spark.createDataFrame([(0, [0.0, 5.0]), (0, [5.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    v = topk.quantised(rows)
+    assert [tuple(r) for r in topk.search(v, v.where("id = 0")).orderBy("rank").collect()] == [(0, 1, 2, 320 * 64), (0, 2, 1, 0)]
+
+
 def brute_rule(url, rules):
     host = path = ""
     if url is not None and "://" in url:
@@ -106,6 +126,24 @@ def test_similar_branches_merge(spark):
     assert got["p"]["branch"] == got["q"]["branch"] != got["r"]["branch"] == got["s"]["branch"] and got["p"]["purity"] == got["q"]["purity"] < 0.3 < 0.8 < got["r"]["purity"]
 
 
+def test_templates_without_labels_are_no_bridge(spark):
+    """Two branches stay apart whatever unlabelled sibling stands between them; with one branch, it joins."""
+    rows = [("h", ["a", "p"], 100, 50, 12), ("h", ["a", "q"], 100, 50, 38), ("h", ["a", "r"], 9, 0, 0), ("h", ["b", "p"], 100, 50, 40), ("h", ["b", "r"], 9, 0, 0), ("i", ["a"], 1, 0, 0), ("i", ["a", "a", "a", "a", "a", "b"], 60, 30, 10)]
+    found = spark.createDataFrame(rows, "host string, template array<string>, pages long, labelled long, bad long")
+    got = {(r["host"], *r["template"]): r for r in url_templates.branches(found).collect()}
+    assert len(got) == len(rows)
+    assert len({got["h", "a", x]["branch"] for x in "pqr"}) == 3 and got["h", "a", "r"]["known"] == 0
+    assert got["h", "b", "r"]["branch"] == got["h", "b", "p"]["branch"] and got["h", "b", "r"]["known"] == 50
+
+
+def test_templates_of_deep_paths(spark):
+    """Levels have no bound: slugs in the ninth segment become a wildcard as they do in the second."""
+    deep = "/".join("abcdefgh")
+    pages = spark.createDataFrame([(i, f"https://x.fr/{deep}/slug-{chr(97 + i % 26)}{chr(97 + i // 26)}/end") for i in range(300)] + [(None, "https://x.fr/" + "s/" * 300)], "page_id long, url string")
+    got = url_templates.judged(pages, spark.createDataFrame([(1, True)], "page long, bad boolean")).collect()
+    assert len(got) == 301 and {r["template"] for r in got if r["page_id"] is not None} == {f"/{deep}/*/end"}
+
+
 def brute_pair(chosen, rejected):
     n = 0
     while n < min(len(chosen), len(rejected)) and chosen[n] == rejected[n]:
@@ -150,7 +188,35 @@ def test_preferences(spark):
     assert preferences.preference_rows(twice, twice).where("chosen <> '' OR rejected <> ''").count() == 0
 
 
+def test_variants(spark, monkeypatch):
+    """Pairs of a table of conversations, by brute force: prefixes of all lengths, none without answer or conversation."""
+    from kontor.llm import fingerprints
+
+    rng, rows = random.Random(8), [(None, 0, "assistant", "nobody's")]
+    for key in rng.sample(range(500), 80):
+        rows += [(key, n, rng.choice(["user", "assistant", "system", None]), rng.choice(["a", "b", "", None, "é🙂"])) for n in range(rng.randint(1, 7))]
+    turns = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn int, role string, text string, key string").repartition(3)
+    talks = {}
+    for key, _, role, text in rows[1:]:
+        talks.setdefault(key, []).append((role, text))
+    keys = sorted(k for k, t in talks.items() if any(role == "assistant" for role, _ in t))
+    want = {}
+    for key, after in zip(keys, [*keys[1:], keys[0]]):
+        places = [i for i, (role, _) in enumerate(talks[key]) if role == "assistant"]
+        first = next(i for i, (role, _) in enumerate(talks[after]) if role == "assistant")
+        want[key] = brute_pair(talks[key], talks[key][: places[key % len(places)]] + talks[after][first:])
+    for size in (1000, 3):
+        monkeypatch.setattr(fingerprints, "RANGE_ROWS", size)
+        got = {r["key"]: r for r in preferences.formatted(preferences.variants(turns)).collect()}
+        assert got.keys() == want.keys() and len({w[1] for w in want.values()}) > 3
+        for k, (prompt, n, a, b, a_spans, b_spans) in want.items():
+            r = got[k]
+            assert (r["prompt"], r["prompt_turns"], r["chosen"], r["rejected"]) == (prompt, n, a, b)
+            assert [tuple(s) for s in r["chosen_mask"]] == a_spans and [tuple(s) for s in r["rejected_mask"]] == b_spans
+    assert preferences.variants(turns.limit(0)).collect() == []
+
+
 def test_preferences_stay_in_spark(spark):
     turns = spark.createDataFrame([(1, 0, "user", "q")], "conv_id long, turn int, role string, text string")
-    plan = preferences.formatted(preferences.swapped_answers(turns))._jdf.queryExecution().executedPlan().toString()
+    plan = preferences.formatted(preferences.variants(turns))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan

@@ -56,6 +56,20 @@ def test_byte_bpe_of_odd_tables(spark, docs, no_docs):
     assert bpe.digests(bpe.decode(bpe.encode(docs.where("text IS NULL")))).first()["n_tokens"] == 0
 
 
+def test_words_of_every_character_are_the_library(words):
+    """All assigned code points (others go to the library) but private ones, alone and in context; texts of many at once, too."""
+    import unicodedata
+
+    encoder = dac.word_encoder(dac.vocabulary_path())
+    points = [c for c in map(chr, range(0x30000)) if unicodedata.category(c) not in ("Cn", "Cs", "Co") and not 0x3400 < ord(c) < 0x9000 and not 0xAC00 < ord(c) < 0xD700 and not 0x20000 < ord(c)]
+    texts = [f"a<{c}>b 1<{c}> '{c}S {c}" for c in points] + ["".join(points[i : i + 50]) for i in range(0, len(points), 50)]
+    for at in range(0, len(texts), 50_000):
+        part = texts[at : at + 50_000]
+        for text, want in zip(part, words.encode_batch(part, add_special_tokens=False)):
+            assert np.frombuffer(encoder.encode(text), "<u4").tolist() == want.ids, ascii(text)
+    assert 100 < len(encoder.other) < 5000 and all(dac.WordEncoder(dac.vocabulary_path())._own(t) for t in ("Ça va? Grüße", "漢字", "İx Σας 🙂"))
+
+
 def test_codes_give_every_id():
     rng = random.Random(3)
     for n in (0, 1, 511, 512, 513, 3000):
