@@ -3,7 +3,7 @@
 A stage wants URLs for sites; those not seen before, within the site's budget, are looked up in the recorded pages.
 Stages come one after the other as a reader would go on: home page, contact pages, contact pages of those, usual paths
 and the site map only where no address was found, and at last, for networks, every page by breadth. The number of
-stages is fixed, and tables between them are cut from their lineage.
+stages is fixed but for the last, which ends where no page is new or left, and tables between them are cut from their lineage.
 """
 
 from __future__ import annotations
@@ -41,7 +41,7 @@ def readable(pages: DataFrame, robots: DataFrame | None = None, agent: str = "*"
         rules = robots.select(F.col("origin").alias("_origin"), F.col("status").alias("_status"), F.left("body", F.lit(MAX_ROBOTS)).alias("_rules"))
         rows = rows.join(rules, origin == F.col("_origin"), "left")
         rows = rows.where(F.col("_origin").isNull() | T.can_fetch(F.col("_status"), F.col("_rules"), F.lit(agent), F.col("url")))
-    return rows.select("url", "html").where("html IS NOT NULL").dropDuplicates(["url"])
+    return first_of_each(rows.select("url", "html").where("html IS NOT NULL"), ["url"], "html")
 
 
 @dataclass
@@ -61,6 +61,8 @@ class Visit:
         new = first_of_each(new, ["site_key", "identity"], "ord", "url").join(budget, "site_key").join(self.counts(), "site_key", "left")
         place = F.row_number().over(Window.partitionBy("site_key").orderBy("ord", "url"))
         tried = cut(new.withColumn("place", place).where(F.col("place") <= F.col("most") - F.coalesce("n", F.lit(0))).select("site_key", "url", "identity", "place"))
+        if tried.isEmpty():
+            return self.read.limit(0)
         got = tried.join(self.pages, "url").select("site_key", F.lit(stage).alias("stage"), F.col("place").cast("long").alias("ord"), "url", "html")
         got = cut(got)
         self.seen = cut(self.seen.union(tried.select("site_key", "identity")).distinct())
@@ -81,8 +83,8 @@ def without_email(read: DataFrame, policy: ContactPolicy) -> DataFrame:
     return with_emails(read.select("site_key", "html"), policy=policy).groupBy("site_key").agg(some).where("NOT some").select("site_key")
 
 
-def visit(sites: DataFrame, pages: DataFrame, deep: DataFrame | None = None, max_pages: int = 10, deep_pages: int = 60, deep_rounds: int = 4, policy: ContactPolicy = DEFAULT) -> DataFrame:
-    """(site_key, stage, ord, url, html): the pages read of each site (site_key, url). deep: (site_key) of sites to read as a whole."""
+def visit(sites: DataFrame, pages: DataFrame, deep: DataFrame | None = None, max_pages: int = 10, deep_pages: int = 60, deep_rounds: int | None = None, policy: ContactPolicy = DEFAULT) -> DataFrame:
+    """(site_key, stage, ord, url, html): the pages read of each site (site_key, url). deep: (site_key) of sites to read as a whole, as long as there are new links and pages left, or for so many rounds."""
     tries = sites.select("site_key", F.col("url").alias("start"), F.posexplode(home_candidates(F.col("url"))).alias("ord", "url"))
     home = first_of_each(tries.join(pages, "url"), ["site_key"], "ord")
     home = cut(home.select("site_key", "start", F.lit(0).alias("stage"), F.lit(0).cast("long").alias("ord"), "url", "html"))
@@ -91,20 +93,24 @@ def visit(sites: DataFrame, pages: DataFrame, deep: DataFrame | None = None, max
     v = Visit(pages, cut(seen), home)
     every = home.select("site_key", F.lit(max_pages).alias("most"))
     first = v.fetch(_links(home, L.discover_links, policy), every, 1)
-    v.fetch(_links(first, L.discover_links, policy), every, 2)
+    if not first.isEmpty():
+        v.fetch(_links(first, L.discover_links, policy), every, 2)
     bare = cut(without_email(v.read, policy))
     origin = F.concat(scheme_of(F.col("url")), F.lit("://"), authority_of(F.col("url")))
-    usual = home.join(bare, "site_key", "left_semi").select("site_key", origin.alias("origin"), F.posexplode(F.array(*map(F.lit, FALLBACK_PATHS))).alias("ord", "path"))
-    v.fetch(usual.select("site_key", F.concat("origin", "path").alias("url"), "ord"), every, 3)
-    bare = cut(without_email(v.read, policy))
-    v.fetch(sitemap_pages(home.join(bare, "site_key", "left_semi").select("site_key", origin.alias("origin")), pages), every, 4)
+    if not bare.isEmpty():
+        usual = home.join(bare, "site_key", "left_semi").select("site_key", origin.alias("origin"), F.posexplode(F.array(*map(F.lit, FALLBACK_PATHS))).alias("ord", "path"))
+        v.fetch(usual.select("site_key", F.concat("origin", "path").alias("url"), "ord"), every, 3)
+        bare = cut(without_email(v.read, policy))
+        v.fetch(sitemap_pages(home.join(bare, "site_key", "left_semi").select("site_key", origin.alias("origin")), pages), every, 4)
     if deep is not None:
         most = home.join(deep, "site_key", "left_semi").select("site_key", F.lit(deep_pages).alias("most"))
         frontier = home.union(first).join(deep, "site_key", "left_semi")
-        for turn in range(deep_rounds):
+        turn = 0
+        while deep_rounds is None or turn < deep_rounds:  # ends with the frontier or the budget, which both only shrink
             frontier = v.fetch(_links(frontier, L.internal_links, policy), most, 5 + turn)
             if frontier.isEmpty():
                 break
+            turn += 1
     return v.read
 
 
@@ -157,19 +163,20 @@ def crawl(sites: DataFrame, pages: DataFrame, guesses: DataFrame, deep: DataFram
     return Round(emails, phones, status.select("site_key", says.alias("status"), "final_url", F.coalesce("pages", F.lit(0)).alias("pages")), confirmed, outer.select("url").distinct())
 
 
-def rounds(sites: DataFrame, businesses: DataFrame, pages: DataFrame, guesses: DataFrame, most: int = 3, policy: ContactPolicy = DEFAULT, **limits):
+def rounds(sites: DataFrame, businesses: DataFrame, pages: DataFrame, guesses: DataFrame, most: int = 3, policy: ContactPolicy = DEFAULT, limit: int | None = None, deep: bool = False, **limits):
     """Up to `most` rounds: each reads what is pending, and the sites that it finds linked are pending for the next.
 
-    Returns (emails, phones, says, confirmed, partners): the rows of all rounds; partners as businesses to collect.
+    limit bounds the sites of the first round; deep reads every site as a whole, not those of networks only. Returns
+    (emails, phones, says, confirmed, partners): the rows of all rounds; partners as businesses to collect.
     """
     from kontor.plans.collect import canonical
 
-    waiting, known = pending(sites), sites.select("site_key")
+    waiting, known = pending(sites, limit), sites.select("site_key")
     networks = network_sites(businesses).select("site_key")
     parts: list[Round] = []
     found = None
     for turn in range(most):
-        r = crawl(waiting.select("site_key", "url", "guessed"), pages, guesses, networks, policy, **limits)
+        r = crawl(waiting.select("site_key", "url", "guessed"), pages, guesses, waiting.select("site_key") if deep else networks, policy, **limits)
         parts.append(r)
         new = canonical(partner_businesses(r.partners.withColumn("ingest_seq", F.lit(turn).cast("long"))), policy).where("site_key IS NOT NULL")
         new = cut(add_new(known, first_of_each(new, ["source_id"], "site_key"), ["site_key"], "source_id"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from kontor.operators import state as S
@@ -50,8 +50,24 @@ def resolve_sources(text: str = "auto", country: str = "FR", search_key: bool =
     return chosen | ({"file"} if file else set())
 
 
+def in_departments(businesses: DataFrame, codes: list[str] | None) -> DataFrame:
+    """Businesses whose postal code lies in one of the departments; all without codes. 2A and 2B share 20."""
+    if not codes:
+        return businesses
+    starts = sorted({"20" if c in ("2A", "2B") else c for c in codes})
+    return businesses.where(F.left("postal_code", F.lit(2)).isin(starts) | F.left("postal_code", F.lit(3)).isin(starts))
+
+
+def may_guess(sources: set[str]) -> bool:
+    """Sites are guessed only for sources that name companies without their sites."""
+    return bool(sources & {"sirene", "gmaps"})
+
+
 class Directory:
-    """The stages over the tables of a folder. Every method leaves the folder complete: what it ends with is kept."""
+    """The stages over the tables of a folder. Each table is whole at any time, and what a stage is told by is kept last.
+
+    So a stage that was interrupted does its work again when it is called again, and adds what is missing.
+    """
 
     def __init__(self, spark: SparkSession, folder: str, policy: ContactPolicy = DEFAULT):
         self.spark, self.store, self.policy = spark, Store(spark, folder), policy
@@ -63,11 +79,12 @@ class Directory:
 
     def collect(self, *sources: DataFrame) -> int:
         """Adds the businesses of sources (those of kontor.sources), their sites and known addresses; returns how many are new."""
-        new = S.cut(C.collect(self.businesses, list(sources), self.policy))
+        seen = Observation()
+        new = S.cut(C.collect(self.businesses, list(sources), self.policy).observe(seen, F.count("*").alias("rows")))
         self.store.append("sites", C.sites_of(self.sites, new))
         self.store.append("emails", C.emails_of(self.emails, new, self.policy))
         self.store.append("businesses", new)
-        return new.count()
+        return seen.get["rows"]
 
     def guess(self, dns: DataFrame, limit: int | None = None) -> int:
         """Adds sites that names suggest and recorded answers (domain, ok) confirm to exist; returns how many."""
@@ -91,10 +108,11 @@ class Directory:
         sure = confirmed.select("business_id", "site_key", F.lit(True).alias("_sure")).distinct()
         marked = self.guesses.join(sure, ["business_id", "site_key"], "left").withColumn("verified", F.col("verified") | F.coalesce("_sure", F.lit(False)))
         self.store.save("guesses", marked)
-        new = S.cut(S.add_new(self.emails, emails, ["email", "site_key", "business_id"], "ingest_seq"))
+        seen = Observation()
+        new = S.cut(S.add_new(self.emails, emails, ["email", "site_key", "business_id"], "ingest_seq").observe(seen, F.count("*").alias("rows")))
         self.store.append("emails", new)
         self.store.append("site_phones", S.add_new(self.site_phones, phones, ["site_key", "phone"], "phone"))
-        return new.count()
+        return seen.get["rows"]
 
     def verify(self, answers: DataFrame, recheck: bool = False) -> None:
         """Keeps what recorded answers (kontor.schemas: mx_answers) say of the addresses' domains."""

@@ -27,7 +27,8 @@ def test_run(spark, inputs, tmp_path):
     db, out, phones = str(tmp_path / "db"), tmp_path / "leads.csv", tmp_path / "phones.csv"
     args = ["--osm", "osm.json", "--sirene", "sirene.json", "--dns", "dns", "--pages", "pages", "--robots", "robots", "--mx", "mx", "--opt-out", "out.txt"]
     args = [x if x.startswith("--") else str(inputs / x) for x in args]
-    main(["--db", db, "run", *args, "-o", str(out), "--telephones", str(phones)], spark)
+    main(["--db", db, "run", *args, "-o", str(out)], spark)
+    main(["--db", db, "export", "-o", str(phones), "--telephones", "--categories", "all"], spark)
     rows = out.read_text(encoding="utf-8-sig").splitlines()
     assert len(rows) == 5 and not any("gmail" in r for r in rows)  # three of the site and the partner's
     assert {r.split(";")[0] for r in rows[1:]} == {"jean@lune.fr", "marie@lune.fr", "lea@lune.fr", "contact@garage-ami.fr"}
@@ -47,9 +48,28 @@ def test_versions(spark, tmp_path):
     assert store.read("mx").count() == 0
     for i in range(4):
         store.append("mx", spark.createDataFrame([(f"d{i}", True, i)], store.read("mx").schema))
-    assert store.read("mx").count() == 4 and len(store.versions("mx")) <= 3
+    assert store.read("mx").count() == 4 and [n[0] for n in store.versions("mx")] == ["a"] * 4
     (tmp_path / "db" / "mx" / "v00000099").mkdir()  # never completed
     assert store.read("mx").count() == 4
+    store.PARTS = 3
+    store.append("mx", spark.createDataFrame([("d9", None, 9)], store.read("mx").schema))
+    assert store.read("mx").count() == 5 and store.versions("mx")[-1] == "v00000005"
+    for _ in range(2):
+        store.save("mx", store.read("mx").where("domain <> 'd0'"))
+    assert store.read("mx").count() == 4 and store.versions("mx") == ["v00000006", "v00000007"]
+
+
+def test_requests_and_options(spark, tmp_path):
+    main(["requests", "--to", str(tmp_path), "--depts", "69,2A", "--categories", "garage", "--cities", "Lyon", "--keywords", "pneus"], spark)
+    read = lambda name: spark.read.json(str(tmp_path / name))
+    assert {(r["naf"], r["department"]) for r in read("register").collect()} == {("45.20A", "69"), ("45.20A", "2A")}
+    assert [r["request"] for r in read("places").collect()] == ["pneus Lyon"] and read("map").count() == 2
+    rows = spark.createDataFrame([("69007",), ("20100",), ("75001",), ("97400",)], "postal_code string")
+    assert {r[0] for r in D.in_departments(rows, ["69", "2A", "974"]).collect()} == {"69007", "20100", "97400"} and D.in_departments(rows, None).count() == 4
+    assert D.may_guess({"sirene"}) and D.may_guess({"gmaps", "osm"}) and not D.may_guess({"osm", "file"})
+    for wrong in (["export", "--categories", "x"], ["collect", "--sources", "x"], ["requests", "--depts", "00"]):
+        with pytest.raises(ValueError):
+            main(["--db", str(tmp_path / "db"), *wrong], spark)
 
 
 def test_arguments():
