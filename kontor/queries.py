@@ -46,11 +46,11 @@ SELECT CASE WHEN s_suppkey % 3 = 0 THEN 'contact' ELSE 'agent' || CAST(s_suppkey
   CASE WHEN s_suppkey % 4 = 0 THEN 'gratuit' WHEN s_suppkey % 2 = 0 THEN 'pro' ELSE 'domaine_site' END AS kind,
   s_suppkey % 3 = 0 AS is_role, 'https://s' || CAST(s_suppkey % 40 AS STRING) || '.fr/p' || CAST(s_suppkey AS STRING) AS source_url, s_suppkey AS ingest_seq FROM {supplier}""",
     "guesses": """
-SELECT CAST(c_custkey + 1 AS BIGINT) AS business_id, 's' || CAST(400 + c_custkey % 50 AS STRING) || '.fr' AS site_key, c_custkey % 2 = 0 AS verified FROM {customer} WHERE c_custkey % 3 = 0""",
+SELECT CAST(c_custkey + 1 AS BIGINT) AS business_id, 's' || CAST(400 + c_custkey % 50 AS STRING) || '.fr' AS site_key, c_custkey % 2 = 0 AS verified FROM {customer}""",
     "mx": """
-SELECT 's' || CAST(s_suppkey AS STRING) || '.fr' AS domain, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE s_suppkey % 3 = 1 END AS ok FROM {supplier} WHERE s_suppkey < 30""",
+SELECT 's' || CAST(s_suppkey AS STRING) || '.fr' AS domain, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE s_suppkey % 3 = 1 END AS ok FROM {supplier}""",
     "phones": """
-SELECT 's' || CAST(c_custkey % 450 AS STRING) || '.fr' AS site_key, '02 00 00 ' || lpad(CAST(c_custkey % 60 AS STRING), 2, '0') || ' 0' || CAST(c_nationkey % 10 AS STRING) AS phone FROM {customer} WHERE c_custkey % 2 = 0""",
+SELECT 's' || CAST(c_custkey % 450 AS STRING) || '.fr' AS site_key, '02 00 00 ' || lpad(CAST(c_custkey % 60 AS STRING), 2, '0') || ' 0' || CAST(c_nationkey % 10 AS STRING) AS phone FROM {customer}""",
     "sites": """
 SELECT 's' || CAST(p_partkey % 500 AS STRING) || '.fr' AS site_key, CASE WHEN min(p_partkey) % 4 = 0 THEN 'ok' WHEN min(p_partkey) % 4 = 1 THEN 'pending' WHEN min(p_partkey) % 4 = 2 THEN 'unreachable' ELSE 'unverified' END AS status,
   min(p_partkey) % 7 = 0 AS guessed, min(p_partkey) AS ingest_seq FROM {part} GROUP BY p_partkey % 500""",
@@ -406,13 +406,6 @@ def status_last_wins(t):
     return S.replace_rows(rows.limit(0), rows, ["user_id"], F.struct("ts", "event_id")).select("user_id", "event_type", "event_id")
 
 
-@_register("SELECT r_name AS category, n_name AS keyword, brand, n_name || ' ' || brand AS request FROM region JOIN nation ON n_regionkey = r_regionkey, (SELECT DISTINCT p_brand AS brand FROM part)")
-def query_grid(t):
-    asked = t("region").join(t("nation"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("category"), F.col("n_name").alias("keyword"))
-    brands = t("part").select(F.col("p_brand").alias("brand")).distinct()
-    return asked.crossJoin(F.broadcast(brands)).withColumn("request", F.concat_ws(" ", "keyword", "brand"))
-
-
 @_register("""SELECT 'node/' || CAST(n_nationkey AS VARCHAR) AS source_id, CASE WHEN n_nationkey % 3 = 0 THEN 'Carrosserie ' || n_name WHEN n_nationkey % 3 = 1 THEN n_name ELSE '' END AS name,
   CASE WHEN n_nationkey % 3 = 0 THEN 'carrosserie' ELSE 'garage' END AS category, CASE WHEN n_nationkey % 3 = 2 THEN 'site' || CAST(n_nationkey AS VARCHAR) || '.fr' ELSE '' END AS website FROM nation WHERE n_nationkey % 5 <> 4""")
 def osm_tags_to_business(t):
@@ -433,25 +426,9 @@ def register_explode(t):
     return register.businesses(rows).select("source_id", "name", "alt_name")
 
 
-@_register("""
-WITH RECURSIVE e AS (SELECT DISTINCT c_nationkey AS a, (c_nationkey * 7 + c_custkey % 2 + 1) % 25 AS b FROM customer),
-r AS (SELECT CAST(0 AS INTEGER) AS site, 0 AS turn UNION SELECT CAST(e.b AS INTEGER), r.turn + 1 FROM r JOIN e ON e.a = r.site WHERE r.turn < 3)
-SELECT site, min(turn) AS turn FROM r GROUP BY site""")
-def partner_rounds(t):
-    """Sites found within three rounds of links from one site: a bounded frontier with an anti-join on what is known."""
-    edges = S.cut(t("customer").select(F.col("c_nationkey").alias("a"), ((F.col("c_nationkey") * 7 + F.col("c_custkey") % 2 + 1) % 25).cast("int").alias("b")).distinct())
-    known = frontier = t("customer").limit(1).select(F.lit(0).alias("site"), F.lit(0).alias("turn"))
-    for turn in range(1, 4):
-        new = edges.join(frontier, edges["a"] == frontier["site"], "left_semi").select(F.col("b").alias("site")).distinct()
-        frontier = S.cut(new.join(known, "site", "left_anti").withColumn("turn", F.lit(turn)))
-        known = known.union(frontier)
-    return known
-
-
 @_register()
 def html_unescape_pages(t):
-    shown = T.html_unescape(F.regexp_extract("html", "(?is)<title>(.*?)</title>", 1))
-    return t("pages").select("page_id", shown.alias("title"))
+    return t("pages").select("page_id", T.html_unescape(F.col("html")).alias("text"))
 
 
 @_register("SELECT page_id, html AS text FROM pages")
@@ -466,11 +443,12 @@ def robots_allowed(t):
     return t("pages").select("page_id", T.can_fetch(status, body, F.lit("kontor"), F.col("url")).alias("allowed"))
 
 
-@_register("SELECT count(*) AS n, count(DISTINCT l_orderkey) AS orders, CAST(sum(CASE WHEN lpad(CAST(l_orderkey AS VARCHAR), 9, '7') = lpad(CAST(l_orderkey AS VARCHAR), 9, '7') THEN 1 ELSE 0 END) AS BIGINT) AS proven FROM lineitem")
+@_register("""
+WITH x AS (SELECT l_orderkey, lpad(CAST(l_orderkey AS VARCHAR), 9, '7') AS number, CASE WHEN l_linenumber % 2 = 0 THEN '1' ELSE '' END AS more FROM lineitem)
+SELECT count(*) AS n, count(DISTINCT l_orderkey) AS orders, count(CASE WHEN regexp_matches('siren ' || number || more || ' x', '(^|[^0-9])' || number || '([^0-9]|$)') THEN 1 END) AS proven FROM x""")
 def tokens_at_scale(t):
-    """The same check of company numbers over the largest table."""
+    """The same check of company numbers over the largest table; every other number stands within a longer one."""
     number = F.lpad(F.col("l_orderkey").cast("string"), 9, "7")
-    proven = N.verify_tokens(F.concat(F.lit("siren "), number, F.lit(" x")), N.business_tokens(F.lit(""), number))
+    text = F.concat(F.lit("siren "), number, F.when(F.col("l_linenumber") % 2 == 0, "1").otherwise(""), F.lit(" x"))
+    proven = N.verify_tokens(text, N.business_tokens(F.lit(""), number))
     return t("lineitem").select("l_orderkey", proven.cast("int").alias("p")).agg(F.count("*").alias("n"), F.countDistinct("l_orderkey").alias("orders"), F.sum("p").alias("proven"))
-
-

@@ -44,9 +44,36 @@ def test_entry(spark):
     assert found.columns == ["email", "kind", "first_seen"] and found.count() > 0
 
 
-def test_queries_without_sql(spark):
-    for name in ("internal_links_top", "html_unescape_pages"):
-        assert entry.queries()[name](spark, SF).count() > 0
+def test_pages_unescaped_are_the_standard_library(spark):
+    import html
+
+    got = {r["page_id"]: r["text"] for r in entry.queries()["html_unescape_pages"](spark, SF).collect()}
+    assert got == {r["page_id"]: html.unescape(r["html"]) for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+
+
+def test_links_of_pages_are_the_standard_library(spark):
+    """Links within a site by another parser: the same addresses for each page, in the same order."""
+    from html.parser import HTMLParser
+    from urllib.parse import urljoin, urlsplit
+
+    class Links(HTMLParser):
+        def handle_starttag(self, tag, attrs):
+            if tag == "a" and dict(attrs).get("href"):
+                self.found.append(dict(attrs)["href"].strip())
+
+    got = {}
+    for r in entry.queries()["internal_links_top"](spark, SF).orderBy("page_id", "rank").collect():
+        got.setdefault(r["page_id"], []).append(r["url"])
+    checked = 0
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        reader = Links()
+        reader.found = []
+        reader.feed(r["html"])
+        hosts = [urlsplit(urljoin(r["url"], h)) for h in reader.found if not h.startswith(("#", "mailto:", "tel:", "javascript:", "data:"))]
+        want = {u._replace(fragment="", path=u.path or "/").geturl() for u in hosts if u.netloc == urlsplit(r["url"]).netloc}
+        assert {u for u in got.get(r["page_id"], []) if urlsplit(u).netloc == urlsplit(r["url"]).netloc} <= want
+        checked += len(want & set(got.get(r["page_id"], [])))
+    assert checked > 0
 
 
 def test_every_sql_has_its_query():
