@@ -193,8 +193,9 @@ def _encode_buckets(vocabulary: str):
     return encode
 
 
-def _assemble(key_name: str, key: pa.DataType):
-    """A block and the ids of its words: one row for each document, ids in the order of the text."""
+def _assemble(key_name: str, key: pa.DataType, packed: bool):
+    """A block and the ids of its words: one row for each document, ids in the order of the text, as a list or packed."""
+    to = pa.binary() if packed else pa.list_(pa.int32())
 
     def assemble(blocks: pa.Table, found: pa.Table) -> pa.Table:
         out_keys, out_lists = [], []
@@ -219,23 +220,28 @@ def _assemble(key_name: str, key: pa.DataType):
             ids = flat[at].view(np.int32)
             ends = ends[np.concatenate(([0], np.cumsum(lengths, dtype=np.int64)))]
             out_keys.append(pa.array(row["keys"], key))
-            out_lists.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids)))
+            if packed:
+                cuts = ends.tolist()
+                out_lists.append(pa.array([_pack(ids[a:b]) for a, b in zip(cuts, cuts[1:])], to))
+            else:
+                out_lists.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids)))
         names = [key_name, "token_ids"]
         if not out_keys:
-            return pa.table([pa.array([], key), pa.array([], pa.list_(pa.int32()))], names=names)
+            return pa.table([pa.array([], key), pa.array([], to)], names=names)
         return pa.table([pa.chunked_array(out_keys), pa.chunked_array(out_lists)], names=names)
 
     return assemble
 
 
-def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str | None = None) -> DataFrame:
-    """(key, token_ids array<int>) for every row of `docs`."""
+def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str | None = None, packed: bool = False) -> DataFrame:
+    """(key, token_ids array<int>) for every row of `docs`; with `packed`, token_ids are binary, smaller in a shuffle."""
     from pyspark.sql.pandas.types import to_arrow_type
 
+    scratch.small_batches(docs.sparkSession)
     spark, vocabulary = docs.sparkSession, vocabulary or vocabulary_path()
     kind = docs.schema[key].dataType
     arrow = to_arrow_type(kind)
-    packed = T.StructType(
+    stored = T.StructType(
         [
             T.StructField("block", T.LongType()),
             T.StructField("keys", T.ArrayType(kind)),
@@ -246,7 +252,7 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary:
         ]
     )
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = scratch.bucketed(docs.select(key, text).mapInArrow(_blocks(arrow), packed), "bpe_blocks", parts, "block")
+    blocks = scratch.bucketed(docs.select(key, text).mapInArrow(_blocks(arrow), stored), "bpe_blocks", parts, "block")
     words = blocks.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
     buckets = max(parts, -(-words // BUCKET_WORDS))
     dealt = blocks.select("block", "words").mapInArrow(_deal(buckets), "bucket long, block long, places binary, words binary")
@@ -255,9 +261,9 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary:
         .sortWithinPartitions("bucket", "block")
         .mapInArrow(_encode_buckets(vocabulary), "at_block long, at binary, counts binary, ids binary")
     )
-    out = T.StructType([T.StructField(key, kind), T.StructField("token_ids", T.ArrayType(T.IntegerType()))])
+    out = T.StructType([T.StructField(key, kind), T.StructField("token_ids", T.BinaryType() if packed else T.ArrayType(T.IntegerType()))])
     left = blocks.select("block", "keys", "lengths", "places", "n_words").groupBy("block")
-    return left.cogroup(found.groupBy("at_block")).applyInArrow(_assemble(key, arrow), out)
+    return left.cogroup(found.groupBy("at_block")).applyInArrow(_assemble(key, arrow, packed), out)
 
 
 def _bytes_of(vocabulary: str) -> list[bytes]:
@@ -305,11 +311,26 @@ def placed(docs: DataFrame) -> DataFrame:
 
 def encoded_in_order(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str | None = None) -> DataFrame:
     """(key, position, token_ids, exact) for every row of `docs`, in their order: position ascends with it, exact says that the decoded ids are the text (null: empty)."""
+    vocabulary = vocabulary or vocabulary_path()
     rows = placed(docs).select(F.struct(F.col(key).alias("key"), "_place", F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("hash")).alias("row"), F.col(text).alias("text"))
-    found = decode(encode(rows, "row", "text", vocabulary), vocabulary=vocabulary)
-    found = found.select(F.col("row.key").alias(key), F.col("row._place").alias("position"), "token_ids", (F.xxhash64(F.col("decoded").cast("string")) == F.col("row.hash")).alias("exact"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return found.repartitionByRange(parts, "position").sortWithinPartitions("position")
+    found = encode(rows, "row", "text", vocabulary, packed=True).select(F.col("row.key").alias(key), F.col("row._place").alias("position"), F.col("row.hash").alias("hash"), "token_ids")
+    found = found.repartitionByRange(parts, "position").sortWithinPartitions("position")
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        token = _bytes_of(vocabulary).__getitem__
+        for batch in batches:
+            for part in (batch.slice(at, 500) for at in range(0, batch.num_rows, 500)):
+                ids = [_unpack(x) for x in part.column(3).to_pylist()]
+                # Spark's xxhash64 of a string has seed 42.
+                exact = [xxhash.xxh64_intdigest(b"".join(map(token, x.tolist())), 42) == h % (1 << 64) for x, h in zip(ids, part.column(2).to_pylist())]
+                lists = pa.array([x.view(np.int32) for x in ids], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists, pa.array(exact, pa.bool_())], names=[key, "position", "token_ids", "exact"])
+
+    out = [found.schema[key], T.StructField("position", T.LongType()), T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("exact", T.BooleanType())]
+    return found.mapInArrow(opened, T.StructType(out))
 
 
 def digests(encoded: DataFrame, key: str = "doc_id") -> DataFrame:

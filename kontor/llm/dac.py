@@ -216,6 +216,7 @@ def _store(folder: str, name: str, data: bytes) -> None:
 
 def write_files(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text", vocabulary: str | None = None, end_id: int = END_ID) -> DataFrame:
     """Writes the token files and returns the manifest (file, part, seq, docs, tokens), itself a written table."""
+    scratch.small_batches(docs.sparkSession)
     vocabulary = vocabulary or vocabulary_path()
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kontor.llm import pretokens
+from kontor.llm import pretokens, scratch
 
 #: Lengths of n-grams, in code points; words are bounded by one space.
 LENGTHS = (3, 4, 5)
@@ -112,6 +112,7 @@ def sampled(docs: DataFrame, key: str, text: str, lang: str) -> tuple[list[str],
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Filter:
     """Learns the filter from the labelled rows that are not held out."""
+    scratch.small_batches(docs.sparkSession)
     languages, sample = sampled(docs, key, text, lang)
     slots = empty_slots(len(languages))
     if sample is None:
@@ -156,6 +157,7 @@ def judge(text: str | None, model: Filter) -> tuple[str, float]:
 
 def predict(docs: DataFrame, model: Filter, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, lang_pred, score) for every row."""
+    scratch.small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,6 +172,7 @@ def predict(docs: DataFrame, model: Filter, key: str = "doc_id", text: str = "te
 
 def identified(docs: DataFrame, model: Filter, text: str = "text", least: float = 0.2) -> DataFrame:
     """The rows of `docs` whose language is known: not `und`, and with a score of `least` or more. All columns stay."""
+    scratch.small_batches(docs.sparkSession)
     sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

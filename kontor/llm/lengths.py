@@ -53,6 +53,7 @@ def word_counts(path: str) -> WordCounts:
 
 def lengths(docs: DataFrame, text: str = "text", vocabulary: str | None = None) -> DataFrame:
     """(n_tokens) for every row."""
+    scratch.small_batches(docs.sparkSession)
     vocabulary = vocabulary or vocabulary_path()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -62,6 +62,21 @@ def bucketed(df: DataFrame, name: str, buckets: int, key: str) -> DataFrame:
     return spark.table(table)
 
 
+#: Rows of texts that are sent to Python at once, where the session does not say otherwise.
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches from Spark's default to BATCH_ROWS rows, for operators that send texts to Python.
+
+    A batch is held by Spark and by Python at once, and grows by doubling; batches are read when a plan runs, so the
+    setting stays.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def _forget(spark: SparkSession, table: str) -> None:
     try:
         spark.sql(f"DROP TABLE IF EXISTS {table}")

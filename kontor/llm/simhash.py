@@ -61,6 +61,7 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
     """(key, fp) for every row; fp is the fingerprint as a signed long."""
+    scratch.small_batches(docs.sparkSession)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
