@@ -66,6 +66,25 @@ def test_stage_takes_out_what_four_bits_leave(spark):
     assert {r["doc_id"] for r in simhash.one_of_each(docs).collect()} != want
 
 
+def test_members_far_from_the_middle_of_a_group(spark):
+    """Members that the middle does not reach link by what they share with each other; the bound by slots loses none."""
+    rng = random.Random(5)
+    base = [f"g{rng.randint(0, 5000)}" for _ in range(150)]
+
+    def changed(words, times):
+        row = words[:]
+        for at in rng.sample(range(len(words)), times):
+            row[at] = f"x{rng.randint(0, 30)}"
+        return row
+
+    rows = [changed(base, rng.randint(0, 9)) for _ in range(120)]
+    rows += [changed(row, 2) for row in rows[::3]]
+    rows = [(i, " ".join(words)) for i, words in enumerate(rows)]
+    want = brute_kept(rows)
+    assert 3 < len(want) < len(rows) / 2
+    assert kept(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3)) == want
+
+
 def test_stage_of_odd_tables(spark, docs, no_docs, texts):
     assert corpus_pipeline.drop_near_duplicates(spark, no_docs, "").collect() == []
     assert kept(spark, docs) == brute_kept([(3 * i, t) for i, t in enumerate(texts)])
