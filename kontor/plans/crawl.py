@@ -27,8 +27,8 @@ from kontor.sources.search import partners as partner_businesses
 READABLE = ("html", "text/plain", "xml", "vcard", "directory")
 
 
-def readable(pages: DataFrame, robots: DataFrame | None = None, agent: str = "*") -> DataFrame:
-    """(url, html) of recorded pages (url, status, content_type, html or body and charset) that may and can be read."""
+def permitted(pages: DataFrame, robots: DataFrame | None = None, agent: str = "*") -> DataFrame:
+    """Recorded pages (url, status, content_type, html or body and charset, ...) that may and can be read, row by row: a URL may be recorded more than once."""
     kind = F.lower(F.coalesce("content_type", F.lit("")))
     fits = kind == ""
     for name in READABLE:
@@ -40,8 +40,13 @@ def readable(pages: DataFrame, robots: DataFrame | None = None, agent: str = "*"
         origin = F.concat(scheme_of(F.col("url")), F.lit("://"), authority_of(F.col("url")))
         rules = robots.select(F.col("origin").alias("_origin"), F.col("status").alias("_status"), F.left("body", F.lit(MAX_ROBOTS)).alias("_rules"))
         rows = rows.join(rules, origin == F.col("_origin"), "left")
-        rows = rows.where(F.col("_origin").isNull() | T.can_fetch(F.col("_status"), F.col("_rules"), F.lit(agent), F.col("url")))
-    return first_of_each(rows.select("url", "html").where("html IS NOT NULL"), ["url"], "html")
+        rows = rows.where(F.col("_origin").isNull() | T.can_fetch(F.col("_status"), F.col("_rules"), F.lit(agent), F.col("url"))).drop("_origin", "_status", "_rules")
+    return rows.where("html IS NOT NULL")
+
+
+def readable(pages: DataFrame, robots: DataFrame | None = None, agent: str = "*") -> DataFrame:
+    """(url, html): of every URL the least text among its permitted records."""
+    return first_of_each(permitted(pages, robots, agent).select("url", "html"), ["url"], "html")
 
 
 @dataclass

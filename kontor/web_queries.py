@@ -249,8 +249,7 @@ def readable_pages(t):
     pages = t("pages").select("page_id", url.alias("url"), F.when(number % 5 == 0, 404).otherwise(200).alias("status"), kind.alias("content_type"), F.when(number % 7 != 0, F.col("html")).alias("html"), F.col("url").alias("own"))
     origins = pages.where(F.col("page_id") % 2 == 0).select(F.expr("regexp_extract(url, '^([a-z]+://[^/?#]*)', 1)").alias("origin")).distinct()
     robots = origins.select("origin", F.lit(200).alias("status"), F.lit("User-agent: *\nDisallow: /de/\nDisallow: /fr/\n").alias("body"))
-    found = R.readable(pages.select("url", "status", "content_type", "html"), robots)
-    return pages.join(found.select("url").withColumn("_there", F.lit(1)), "url").select("page_id", F.col("own").alias("url"))
+    return R.permitted(pages, robots).select("page_id", F.col("own").alias("url"))
 
 
 @_register("SELECT site_key, CASE WHEN p.k IS NULL THEN status ELSE 'ok' END AS status, CASE WHEN p.k IS NULL THEN 0 ELSE 3 END AS pages FROM {sites} LEFT JOIN (SELECT DISTINCT 's' || CAST(c_custkey % 300 AS VARCHAR) || '.fr' AS k FROM customer) p ON p.k = site_key")

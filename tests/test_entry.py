@@ -39,6 +39,17 @@ def test_query_is_its_sql(spark, sql, name):
     assert compare(spark, sql, name) or name == "export_leads_filtered"
 
 
+def test_readable_pages_where_urls_repeat(spark, tmp_path):
+    """A page that cannot be read stays out, though another record of its URL can."""
+    rows = [(i, f"https://a.example.org/{('en', 'de', 'fr')[i % 3]}/{i % 4}", f"page {i % 9}") for i in range(210)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.execute(entry.oracle_sql()["readable_pages"]).fetchall()
+    got = [tuple(r) for r in entry.queries()["readable_pages"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want) and len(want) > 50
+
+
 def test_entry(spark):
     found = entry.entry(spark)
     assert found.columns == ["email", "kind", "first_seen"] and found.count() > 0
