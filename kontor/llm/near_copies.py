@@ -1,15 +1,21 @@
-"""Near copies by the similarity of their shingle sets: a wide SimHash bound for candidates, exact verification.
-
-Two texts are near copies if the sets of their word shingles have a Jaccard similarity of at least `LEAST`. At 0.8 the
-64-bit SimHashes differ in ten bits or so, which may touch every byte, so lists by positional bytes (operator 6) do not
-find them. Here a list holds the sets that agree in a band of MIN_HASHES least hashes of shingles; BANDS bands miss a pair at
-0.8 with a probability of (1 - 0.8^5)^32 = 3e-6. Pairs of a list whose sizes allow the similarity and whose SimHashes
-differ in at most WIDE bits are candidates; each is verified on the 64-bit hashes of its shingles.
-
-Scale: equal sets are merged before anything is paired. A list of up to SHORT sets gives all its candidates; of a longer
-one, a spanning forest of them, which starts at the set in the middle, and those side by side by SimHash are verified
-first, and then only what lies in different components and can share enough: shingles that no other set of a long list
-holds do not count, the others are counted by parts of their hashes, and the lesser counts bound what is shared. A large group of near copies costs a few rows per member. Only texts of candidates are shuffled.
+"""Near copies by the similarity of their shingle sets: operator 6's index on a wide SimHash, exact verification.
+
+Two texts are near copies if the sets of their word shingles have a Jaccard similarity of at least `LEAST`. At 0.8 a bit of
+two SimHashes differs with a probability of 0.15, so that 64 bits differ in ten or so, which may touch every byte: operator
+6's own fingerprint does not find them. Here a SimHash has BYTES = 96 bytes. The index lists sets by positional bytes: a
+list holds those that agree in a byte at a position and in half of the byte after it (12 bits). A pair at 0.8 shares each
+of the 96 lists with a probability of 0.139, and none with about (1 - 0.139)^96 = 6e-7 (3e-4 for sets of four and five
+shingles, where ties differ more often). Pairs of a list whose sizes allow the similarity and whose first HEAD bits differ
+in at most HEAD_BITS are candidates. Their shared positional bytes are tallied: a pair at 0.8 shares 26 of 96 on average,
+others 0.4; those under MIN_SHARED go. The rest are verified bit by bit (WIDE), and then on the 64-bit hashes of their shingles.
+
+Scale: equal sets are merged before anything is paired. Lists are sorted by size, so that a set meets only those of a size
+that allows the similarity, all lists of a batch at once. A list gives all its candidates, unless it is dense: of more than
+SHORT sets, with more candidates than sets among its neighbours by size. Of a dense one, a spanning forest of them, which
+starts at the set in the middle, is verified first, and then only what lies in different components and can share enough:
+shingles that no other set of a dense list holds do not count, the others are counted by parts of their hashes, and the
+lesser counts bound what is shared. A large group of near copies costs a few rows per member and list. Only texts of
+candidates are shuffled.
 """
 
 from __future__ import annotations
@@ -27,14 +33,20 @@ from kontor.llm.components import components
 from kontor.llm.simhash import SEED, SHORT
 
 WORDS, LEAST = 5, (4, 5)
-BANDS, MIN_HASHES = 32, 5
-WIDE = 26
+#: Bytes of a SimHash, in words of 64 bits; each position has lists.
+BYTES = 96
+#: Positional bytes that two sets share at least, and bits in which they differ at most.
+MIN_SHARED, WIDE = 4, 192
+#: Bits that go with a set into its lists, and in how many of them a candidate differs at most.
+HEAD, HEAD_BITS = 128, 44
+#: Rows of lists that are compared at once.
+AT_ONCE = 1 << 16
 #: A set's shingles are counted in 2^SLOT_BITS parts to bound what two sets share.
 SLOT_BITS = 5
-#: Neighbours by SimHash that a set of a long list is compared with at first.
-BESIDE = 3
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_MIX = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * MIN_HASHES), np.uint64) | np.array([[0], [1]], np.uint64)
+_MIX = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BYTES // 8, 1), np.uint64) | np.array([0, 1], np.uint64)[:, None, None]
+#: The least bit of every byte of a word.
+_ONES = np.uint64(0x0101010101010101)
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -62,46 +74,91 @@ def set_id(found: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(found.tobytes(), SEED)).view(np.int64))
 
 
-def set_fingerprint(found: np.ndarray) -> int:
-    """The 64-bit SimHash of a set, as a signed long; 0 for the empty one."""
-    counts = np.zeros(64, np.int64)
-    for at in range(0, len(found), 1 << 16):
-        counts += np.unpackbits(found[at : at + (1 << 16)].view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(found)).view(np.int64)[0])
+def simhashes(found: list[np.ndarray]) -> np.ndarray:
+    """The SimHash of each set, BYTES bytes in a row; zeros for the empty one."""
+    sizes = np.array([len(x) for x in found], np.int64)
+    out = np.zeros((len(found), BYTES), np.uint8)
+    some = np.flatnonzero(sizes)
+    if not len(some):
+        return out
+    sizes = sizes[some]
+    flat = np.concatenate([found[i] for i in some.tolist()])
+    # Blocks of up to 255 shingles, whose counts of a bit fit in a byte: eight counters are added in one word.
+    blocks = -(-sizes // 255)
+    first = np.cumsum(blocks) - blocks
+    starts = np.repeat(np.cumsum(sizes) - sizes, blocks) + 255 * (np.arange(blocks.sum()) - np.repeat(first, blocks))
+    counts = np.empty((len(starts), 8, BYTES), np.uint8)
+    at, cuts = 0, np.append(starts, len(flat))
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(cuts, cuts[at] + 2048, "right")) - 1)
+        hashes = (flat[cuts[at] : cuts[to]] ^ _MIX[0]) * _MIX[1]
+        hashes ^= hashes >> np.uint64(32)
+        for i in range(8):
+            lanes = np.add.reduceat((hashes >> np.uint64(i)) & _ONES, starts[at:to] - cuts[at], axis=1)
+            counts[at:to, i] = np.ascontiguousarray(lanes.T).view(np.uint8)
+        at = to
+    total = np.add.reduceat(counts, first, axis=0, dtype=np.int32)
+    out[some] = np.packbits(2 * total > sizes[:, None, None], axis=1, bitorder="little")[:, 0]
+    return out
 
 
-def band_keys(found: np.ndarray) -> np.ndarray:
-    """One list key for each band: a hash of the band and its least hashes. None for the empty set, which equals only itself."""
-    import xxhash
+def list_keys(prints: np.ndarray) -> np.ndarray:
+    """The lists of each SimHash, one for each position: the position, its byte and half of the next one's."""
+    return (np.arange(BYTES) << 12 | prints.astype(np.int64) << 4 | np.roll(prints, -1, axis=1) & 15).astype(np.int32)
+
+
+def _prints(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BYTES)
+
 
-    if not len(found):
-        return np.zeros(0, np.int64)
-    least = np.full(BANDS * MIN_HASHES, np.iinfo(np.uint64).max)
-    for at in range(0, len(found), 1024):
-        least = np.minimum(least, ((found[at : at + 1024, None] ^ _MIX[0]) * _MIX[1]).min(axis=0))
-    return np.array([xxhash.xxh64_intdigest(x.tobytes(), i) for i, x in enumerate(least.reshape(BANDS, MIN_HASHES))], np.uint64).view(np.int64)
+def _heads(prints: np.ndarray) -> np.ndarray:
+    """The words that go with a set into its lists."""
+    return np.ascontiguousarray(np.ascontiguousarray(prints[:, : HEAD // 8]).view(np.int64).T)
+
+
+def _headed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, n, print) to (id, n, head0, head1)."""
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], *map(pa.array, _heads(_prints(batch.column(2))))], names=["id", "n", "head0", "head1"])
 
 
 def hashed(docs: DataFrame, *others: str, text: str = "text") -> DataFrame:
-    """(others, id, fp, n, bands) for every row: the set of its text by name, its SimHash, size and list keys."""
+    """(others, id, n, print) for every row: the set of its text by name, its size and its SimHash."""
     scratch.small_batches(docs.sparkSession)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingles(x) for x in batch.column(len(others)).to_pylist()]
-            columns = [pa.array(map(set_id, found), pa.int64()), pa.array(map(set_fingerprint, found), pa.int64()), pa.array(map(len, found), pa.int32())]
-            bands = pa.array([band_keys(x) for x in found], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns, bands], names=[*others, "id", "fp", "n", "bands"])
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                found = [shingles(x) for x in part.column(len(others)).to_pylist()]
+                columns = [pa.array(map(set_id, found), pa.int64()), pa.array(map(len, found), pa.int32()), pa.array([x.tobytes() for x in simhashes(found)], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *columns], names=[*others, "id", "n", "print"])
 
-    made = T.StructType([T.StructField("id", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    made = T.StructType([T.StructField("id", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("print", T.BinaryType())])
     schema = T.StructType([*docs.select(*others).schema, *made])
     return docs.select(*others, text).mapInArrow(rows, schema)
 
 
-def _may(fp: np.ndarray, n: np.ndarray, i: np.ndarray | int, j: np.ndarray | slice) -> np.ndarray:
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, n, print) to (key, id, n, head0, head1), one for each list; the empty set is in none, it equals only itself."""
+    for batch in batches:
+        batch = batch.filter(pa.array(batch.column(1).to_numpy() > 0))
+        if batch.num_rows:
+            prints = _prints(batch.column(2))
+            whole = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), *_heads(prints)]
+            for rows in np.array_split(np.arange(batch.num_rows), -(-batch.num_rows // 256)):
+                yield pa.RecordBatch.from_arrays([pa.array(list_keys(prints[rows]).reshape(-1)), *(pa.array(np.repeat(c[rows], BYTES)) for c in whole)], names=["key", "id", "n", "head0", "head1"])
+
+
+def _close(heads: list[np.ndarray], i: np.ndarray | int, j: np.ndarray | slice) -> np.ndarray:
+    """Which pairs of places can be near copies by the first bits of their SimHashes."""
+    return sum(np.bitwise_count((h[i] ^ h[j]).view(np.uint64)) for h in heads) <= HEAD_BITS
+
+
+def _may(heads: list[np.ndarray], n: np.ndarray, i: np.ndarray | int, j: np.ndarray | slice) -> np.ndarray:
     """Which pairs of places can be near copies by size and SimHash."""
     part, whole = LEAST
-    return (np.bitwise_count((fp[i] ^ fp[j]).view(np.uint64)) <= WIDE) & (whole * np.minimum(n[i], n[j]) >= part * np.maximum(n[i], n[j]))
+    return _close(heads, i, j) & (whole * np.minimum(n[i], n[j]) >= part * np.maximum(n[i], n[j]))
 
 
 def _from_middle(fp: np.ndarray) -> np.ndarray:
@@ -112,76 +169,128 @@ def _from_middle(fp: np.ndarray) -> np.ndarray:
     return np.argsort(np.bitwise_count((fp ^ np.packbits(2 * counts > len(fp)).view(np.int64)[0]).view(np.uint64)), kind="stable")
 
 
-def _first(fp: np.ndarray, n: np.ndarray, label: np.ndarray, slots: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Candidates of a list: all of a short one, a spanning forest and close neighbours of a long one."""
-    size = len(fp)
-    for d in range(1, min(size, SHORT if size <= SHORT else BESIDE + 1)):
-        at = np.arange(size - d)
-        at = at[_may(fp, n, at, at + d)]
-        yield at, at + d
-    if size > SHORT:
-        rest, queue = _from_middle(fp), []
-        while len(rest):
-            if queue:
-                node = queue.pop()
-            else:
-                node, rest = rest[0], rest[1:]
-            near = _may(fp, n, node, rest)
-            queue.extend(rest[near])
-            yield np.full(near.sum(), node), rest[near]
-            rest = rest[~near]
-
-
-def _second(fp: np.ndarray, n: np.ndarray, label: np.ndarray, slots: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Candidates of a long list between different components whose counts by slot allow the similarity."""
+def _forest(heads: list[np.ndarray], n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Candidates of a dense list: a spanning forest of them."""
+    rest, queue = _from_middle(heads[0]), []
+    while len(rest):
+        if queue:
+            node = queue.pop()
+        else:
+            node, rest = rest[0], rest[1:]
+        near = _may(heads, n, node, rest)
+        queue.extend(rest[near])
+        yield np.full(near.sum(), node), rest[near]
+        rest = rest[~near]
+
+
+def _between(heads: list[np.ndarray], n: np.ndarray, label: np.ndarray, slots: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Candidates of a dense list between different components whose counts by slot allow the similarity."""
     part, whole = LEAST
-    if len(fp) > SHORT:
-        names, at, count = np.unique(label, return_inverse=True, return_counts=True)
-        large = at == count.argmax()
-        done = np.zeros(len(fp), bool)
-        for i in np.flatnonzero(~large).tolist():
-            done[i] = True
-            other = np.flatnonzero(~done & (label != label[i]))
-            other = other[_may(fp, n, i, other)]
-            shared = sum(np.minimum(slot[i], slot[other]) for slot in slots)
-            other = other[(part + whole) * shared >= part * (n[i] + n[other])]
-            yield np.full(len(other), i), other
+    names, at, count = np.unique(label, return_inverse=True, return_counts=True)
+    large = at == count.argmax()
+    done = np.zeros(len(n), bool)
+    for i in np.flatnonzero(~large).tolist():
+        done[i] = True
+        other = np.flatnonzero(~done & (label != label[i]))
+        other = other[_may(heads, n, i, other)]
+        shared = sum(np.minimum(slot[i], slot[other]) for slot in slots)
+        other = other[(part + whole) * shared >= part * (n[i] + n[other])]
+        yield np.full(len(other), i), other
+
+
+def _lists(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and sizes of the lists, which lie side by side."""
+    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return starts, np.diff(np.append(starts, len(keys)))
+
+
+def _made(ids: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]], dense: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+    """Pairs of places as rows (a, b, null), members of dense lists as rows (id, null, key)."""
+    i, j = (np.concatenate([np.zeros(0, np.int64), *(x[k] for x in pairs)]) for k in (0, 1))
+    a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
+    members = np.concatenate([np.zeros(0, np.int64), *(x for _, x in dense)])
+    key = np.repeat(np.array([k for k, _ in dense], np.int32), np.array([len(x) for _, x in dense], np.int64))
+    pair = np.arange(len(a) + len(members)) < len(a)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(np.concatenate((a, ids[members]))),
+            pa.array(np.concatenate((b, np.zeros(len(members), np.int64))), mask=~pair),
+            pa.array(np.concatenate((np.zeros(len(a), np.int32), key)), mask=pair),
+        ],
+        names=["a", "b", "key"],
+    )
+
+
+def _first(keys: np.ndarray, ids: np.ndarray, n: np.ndarray, *heads: np.ndarray) -> pa.RecordBatch:
+    """Candidates of lists that are sorted by size: all of them, or a forest of a dense list and its members that are in it."""
+    part, whole = LEAST
+    starts, sizes = _lists(keys)
+    which = np.repeat(np.arange(len(starts)), sizes)
+    n = n.astype(np.int64)
+    at, dense, pairs, count = np.arange(len(keys)), np.zeros(0, np.int64), [], np.zeros(len(starts), np.int64)
+    d = 0
+    while len(at):
+        d += 1
+        if d == SHORT:
+            dense = np.flatnonzero((sizes > SHORT) & (count > sizes))
+            at = at[~np.isin(which[at], dense)]
+            pairs = [(i[keep], j[keep]) for i, j in pairs for keep in [~np.isin(which[i], dense)]]
+        at = at[at + d < len(keys)]
+        # Whoever has no partner at this distance has none beyond.
+        at = at[(keys[at + d] == keys[at]) & (whole * n[at] >= part * n[at + d])]
+        near = at[_close(heads, at, at + d)]
+        if len(near):
+            pairs.append((near, near + d))
+            count += np.bincount(which[near], minlength=len(count))
+    members = []
+    for k in dense.tolist():
+        s, e = starts[k], starts[k] + sizes[k]
+        found = [(i + s, j + s) for i, j in _forest([h[s:e] for h in heads], n[s:e]) if len(i)]
+        pairs += found
+        members.append((int(keys[s]), np.unique(np.concatenate([x for f in found for x in f]))))
+    return _made(ids, pairs, members)
+
+
+def _second(keys: np.ndarray, ids: np.ndarray, n: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
+    """Candidates that the forests of dense lists left. columns: the heads, label and slots."""
+    pairs, words = [], HEAD // 64
+    for s, size in zip(*map(np.ndarray.tolist, _lists(keys))):
+        own = [c[s : s + size] for c in (n, *columns)]
+        pairs += [(i + s, j + s) for i, j in _between(own[1 : 1 + words], own[0], own[1 + words], own[2 + words :]) if len(i)]
+    return _made(ids, pairs, [])
 
 
 def _pairs(of):
-    """A function of batches (key, id, fp, n, label, slots), lists side by side, to candidates (a, b)."""
-
-    def made(keys: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
-        starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-        ends = np.append(starts[1:], len(keys))
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for s, e in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist()):
-            ids, fp, n, label, *slots = (c[s:e] for c in columns)
-            for i, j in of(fp, n, label, slots):
-                a.append(np.minimum(ids[i], ids[j]))
-                b.append(np.maximum(ids[i], ids[j]))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+    """A function of batches (key, ...), lists side by side, that gives whole lists to `of`, many at once."""
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[list[np.ndarray]] = []  # the list at the end of what was read
+        waiting, rows = [], 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            cut = int(np.searchsorted(columns[0], columns[0][-1]))
-            if not waiting or waiting[-1][0][-1] != columns[0][-1]:
-                if waiting or cut:
-                    whole = [np.concatenate(c) for c in zip(*waiting, [c[:cut] for c in columns])]
-                    yield made(whole[0], whole[1:])
-                waiting, columns = [], [c[cut:] for c in columns]
-            waiting.append(columns)
+            waiting.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            rows += batch.num_rows
+            if rows >= AT_ONCE and waiting[0][0][0] != waiting[-1][0][-1]:
+                columns = [np.concatenate(c) for c in zip(*waiting)]
+                cut = int(np.searchsorted(columns[0], columns[0][-1]))
+                yield of(*(c[:cut] for c in columns))
+                waiting = [[c[cut:] for c in columns]]
+                rows -= cut
         if waiting:
-            whole = [np.concatenate(c) for c in zip(*waiting)]
-            yield made(whole[0], whole[1:])
+            yield of(*(np.concatenate(c) for c in zip(*waiting)))
 
     return pairs
 
 
+def _tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of pairs (a, b, x, y) with their SimHashes, those that share enough positional bytes, and differ in few enough bits."""
+    for batch in batches:
+        differ = _prints(batch.column(2)) ^ _prints(batch.column(3))
+        passed = (differ == 0).sum(axis=1) >= MIN_SHARED
+        passed[passed] = np.bitwise_count(differ[passed]).sum(axis=1) <= WIDE
+        yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(passed))
+
+
 def mark(text: Column) -> Column:
     """A name for a text; empty for null."""
     return F.coalesce(F.md5(text.cast("binary")), F.lit(""))
@@ -205,9 +314,8 @@ def _sets(docs: DataFrame, asked: DataFrame, key: str, text: str) -> DataFrame:
     return rows.groupBy("who").agg(F.min("text").alias("text")).select("text").mapInArrow(bare, "id long, shingles array<long>")
 
 
-def _sets_of(docs: DataFrame, sets: DataFrame, pairs: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, shingles) of the sets in the pairs (a, b), as a table. sets: (id, best)."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+def _sets_of(docs: DataFrame, sets: DataFrame, ids: DataFrame, key: str, text: str) -> DataFrame:
+    """(id, shingles) of the sets that are asked for by id, as a table. sets: (id, best)."""
     asked = scratch.written(sets.join(ids, "id", "left_semi").select(_who(F.col("best.key"), F.col("best.mark")).alias("who")), "candidate_rows")
     return scratch.written(_sets(docs, asked, key, text), "candidate_sets")
 
@@ -235,27 +343,33 @@ def _counted(found: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def labels(docs: DataFrame, sets: DataFrame, key: str, text: str) -> DataFrame:
-    """(node, label): components of `sets` that have a near copy. sets: a table (id, fp, n, bands, best), best being the row of each."""
+    """(node, label): components of `sets` that have a near copy. sets: a table (id, n, print, best), best being the row of each."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    lists = scratch.written(sets.select(F.explode("bands").alias("key"), "id", "fp", "n"), "near_lists")
-    # Lists of one set have no pairs.
-    several = lists.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1")
-    lists = scratch.written(lists.join(several, "key"), "near_lists_of_several")
-
-    def candidates(rows: DataFrame, of, *slots: str) -> DataFrame:
-        rows = rows.select("key", "id", "fp", "n", "label", *slots).repartition(parts, "key").sortWithinPartitions("key", "fp", "id")
-        return scratch.written(rows.mapInArrow(_pairs(of), "a long, b long").distinct(), "candidates")
-
-    pairs = candidates(lists.withColumn("label", F.col("id")), _first)
-    # Whoever is in any candidate is in one of these, so the second pairs need no other sets.
-    shingled = _sets_of(docs, sets, pairs, key, text)
+    heads = [f"head{i}" for i in range(HEAD // 64)]
+    schema = "key int, id long, n int, " + ", ".join(f"{h} long" for h in heads)
+
+    def dealt(rows: DataFrame, of, name: str) -> DataFrame:
+        return scratch.written(rows.repartition(parts, "key").sortWithinPartitions("key", "n", "id").mapInArrow(_pairs(of), "a long, b long, key int"), name)
+
+    def tallied(pairs: DataFrame, name: str) -> DataFrame:
+        prints = sets.select("id", "print")
+        both = pairs.join(prints.toDF("a", "x"), "a").join(prints.toDF("b", "y"), "b").select("a", "b", "x", "y")
+        return scratch.written(both.mapInArrow(_tallied, "a long, b long"), name)
+
+    listed = sets.select("id", "n", "print").mapInArrow(_listed, schema)
+    found = dealt(listed, _first, "candidates")
+    pairs = tallied(found.where("key IS NULL").select("a", "b").distinct(), "candidates_tallied")
+    dense = scratch.written(found.where("key IS NOT NULL").select("key", F.col("a").alias("id")), "near_dense")
+    # Whoever is in a second pair is in a forest, so these are all the sets that are needed.
+    shingled = _sets_of(docs, sets, pairs.select(F.explode(F.array("a", "b")).alias("id")).union(dense.select("id")).distinct(), key, text)
     links = scratch.written(_checked(shingled, pairs), "near_links")
     nodes = components(links, "a", "b")
-    long = lists.where(F.col("rows") > SHORT)
-    counted = scratch.written(_counted(shingled, long.select("id").distinct()), "near_slots")
-    # Sets without counts are in no candidate at all.
-    long = long.join(counted, "id").join(nodes.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-    more = scratch.written(candidates(long, _second, *_slots()).join(pairs, ["a", "b"], "left_anti"), "candidates_left")
+    if dense.isEmpty():
+        return nodes
+    counted = scratch.written(_counted(shingled, dense.select("id").distinct()), "near_slots")
+    own = sets.select("id", "n", "print").mapInArrow(_headed, schema.replace("key int, ", "")).join(counted, "id").join(nodes.withColumnRenamed("node", "id"), "id", "left")
+    members = dense.join(scratch.written(own.withColumn("label", F.coalesce("label", "id")), "near_members"), "id").select("key", "id", "n", *heads, "label", *_slots())
+    more = tallied(dealt(members, _second, "candidates_between").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "candidates_left")
     if more.isEmpty():
         return nodes
     return components(links.union(scratch.written(_checked(shingled, more), "near_links_left")), "a", "b")
@@ -266,7 +380,7 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     own = mark(F.col(text))
     found = scratch.written(hashed(docs.select(F.col(key).alias("key"), own.alias("mark"), text), "key", "mark", text=text), "near_hashed")
     best = F.min(F.struct(F.col("key").isNull().alias("last"), "key", "mark")).alias("best")
-    sets = scratch.written(found.groupBy("id").agg(*(F.min(c).alias(c) for c in ("fp", "n", "bands")), best), "near_sets")
+    sets = scratch.written(found.groupBy("id").agg(F.min("n").alias("n"), F.min("print").alias("print"), best), "near_sets")
     nodes = labels(docs, sets, key, text)
     rows = sets.select("id", "best").join(nodes.withColumnRenamed("node", "id"), "id", "left").groupBy(F.coalesce("label", "id")).agg(F.min("best").alias("best"))
     kept = scratch.written(rows.select(F.col("best.key").alias("_key"), F.col("best.mark").alias("_mark")), "near_kept")

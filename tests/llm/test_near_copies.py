@@ -3,6 +3,8 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,3 +106,50 @@ def test_rows_that_share_a_key_or_have_none(spark, one_of_each):
     assert sorted(r["text"].lower() for r in found) == sorted([a, b, c])
     assert sorted((r["text"] for r in found if r["doc_id"] == 1)) == sorted([a, b])
 
+
+
+def test_wide_simhashes_are_counted_bit_by_bit():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 1 << 64, k, np.uint64)) for k in (1, 0, 4, 255, 256, 700, 0)]
+    for found, got in zip(sets, near_copies.simhashes(sets)):
+        hashes = (found ^ near_copies._MIX[0]) * near_copies._MIX[1]
+        hashes ^= hashes >> np.uint64(32)
+        bits = [(hashes >> np.uint64(i) & np.uint64(1)).sum(axis=1) for i in range(64)]
+        want = [[2 * bits[i][w] > len(found) for i in range(64)] for w in range(near_copies.BYTES // 8)]
+        assert np.array_equal(np.packbits(want, axis=1, bitorder="little").reshape(-1), got)
+
+
+@pytest.mark.parametrize("n", [9, 45, 450])
+def test_positional_bytes_reach_the_similarity(n):
+    """Sets at a similarity of 0.8 share a list, and enough bytes and bits; others do not share enough."""
+    rng = np.random.default_rng(n)
+    made = [rng.integers(0, 1 << 64, 2 * n, np.uint64) for _ in range(400)]
+    a, b = (near_copies.simhashes([x[at : at + n] for x in made]) for at in (0, n // 9))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(400)), pa.array(range(400)), *(pa.array([x.tobytes() for x in p], pa.binary()) for p in (a, b))], names=list("abxy"))
+    assert (near_copies.list_keys(a) == near_copies.list_keys(b)).any(axis=1).all()
+    assert near_copies._close(list(near_copies._heads(np.concatenate([a, b]))), np.arange(400), np.arange(400, 800)).all()
+    (found,) = near_copies._tallied([batch])
+    assert found.column(0).to_pylist() == list(range(400))
+    (found,) = near_copies._tallied([batch.set_column(2, "x", batch.column(2).take(pa.array(range(399, -1, -1))))])
+    assert found.num_rows == 0
+
+
+def test_lists_of_the_index():
+    """A sparse list gives all its candidates; a dense one fewer than all, which connect its members, who are named."""
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 64, 300, np.uint64)
+    sets = [np.sort(np.append(base[i : i + 250], rng.integers(0, 1 << 64, 3, np.uint64))) for i in range(40)]
+    sets += [rng.integers(0, 1 << 64, 253, np.uint64) for _ in range(200)]
+    heads = near_copies._heads(near_copies.simhashes(sets))
+    n = np.array([len(x) for x in sets], np.int32)
+    close = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if near_copies._close(list(heads), i, j)}
+    for rows, dense in ((np.r_[0:3, 40:240], False), (np.arange(40), True)):
+        found = near_copies._first(np.full(len(rows), 7, np.int32), rows, n[rows], *np.ascontiguousarray(heads[:, rows])).to_pylist()
+        pairs = {(r["a"], r["b"]) for r in found if r["key"] is None}
+        own = {(i, j) for i, j in close if i in rows and j in rows}
+        members = {r["a"] for r in found if r["key"] == 7}
+        assert pairs <= own and (len(pairs) < len(own) and members == {x for p in own for x in p} if dense else pairs == own and not members)
+        seen = {min(rows)}
+        while more := {x for p in pairs if set(p) & seen for x in p} - seen:
+            seen |= more
+        assert not dense or seen == members
