@@ -12,7 +12,7 @@ others 0.4; those under MIN_SHARED go. The rest are verified bit by bit (WIDE),
 Scale: equal sets are merged before anything is paired. Lists are sorted by size, so that a set meets only those of a size
 that allows the similarity, all lists of a batch at once. A list gives all its candidates, unless it is dense: of more than
 SHORT sets, with more candidates than sets among its neighbours by size. Of a dense one, a spanning forest of them, which
-starts at the set in the middle, is found; of a set's edges in all forests, the HUBS closest are verified first, and then
+starts at the set in the middle, is found; of a set's edges in all forests, the HUBS closest by their first bits are verified first, and then
 only what lies in different components and can share enough:
 shingles that no other set of a dense list holds do not count, the others are counted by parts of their hashes, and the
 lesser counts bound what is shared. A large group of near copies costs a few rows per member and list. Only texts of
@@ -207,14 +207,15 @@ def _lists(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.append(starts, len(keys)))
 
 
-def _made(ids: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]], forests: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    """Pairs of places as rows (a, b, null); of a dense list every member as (id, where it hangs, key), a root hangs nowhere (null)."""
+def _made(ids: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]], forests: list[tuple[int, np.ndarray, np.ndarray]], heads: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+    """Pairs of places as rows (a, b, null, 0); of a dense list every member as (id, where it hangs, key, differing bits), a root hangs nowhere (null)."""
     i, j = (np.concatenate([np.zeros(0, np.int64), *(x[k] for x in pairs)]) for k in (0, 1))
     members, above = (np.concatenate([np.zeros(0, np.int64), *(x[k] for x in forests)]) for k in (1, 2))
     key = np.repeat(np.array([x[0] for x in forests], np.int32), np.array([len(x[1]) for x in forests], np.int64))
     a, b = np.concatenate((np.minimum(ids[i], ids[j]), ids[members])), np.concatenate((np.maximum(ids[i], ids[j]), ids[above]))
+    bits = np.concatenate((np.zeros(len(i)), sum(np.bitwise_count((h[members] ^ h[above]).view(np.uint64)) for h in heads))).astype(np.int32)
     pair, root = np.arange(len(a)) < len(i), np.concatenate((np.zeros(len(i), bool), members == above))
-    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b, mask=root), pa.array(np.concatenate((np.zeros(len(i), np.int32), key)), mask=pair)], names=["a", "b", "key"])
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b, mask=root), pa.array(np.concatenate((np.zeros(len(i), np.int32), key)), mask=pair), pa.array(bits)], names=["a", "b", "key", "bits"])
 
 
 def _first(keys: np.ndarray, ids: np.ndarray, n: np.ndarray, *heads: np.ndarray) -> pa.RecordBatch:
@@ -244,7 +245,7 @@ def _first(keys: np.ndarray, ids: np.ndarray, n: np.ndarray, *heads: np.ndarray)
         above, below = (s + np.concatenate(x) for x in zip(*_forest([h[s:e] for h in heads], n[s:e])))
         roots = np.setdiff1d(above, below)
         forests.append((int(keys[s]), np.concatenate((roots, below)), np.concatenate((roots, above))))
-    return _made(ids, pairs, forests)
+    return _made(ids, pairs, forests, heads)
 
 
 def _second(keys: np.ndarray, ids: np.ndarray, n: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
@@ -253,7 +254,7 @@ def _second(keys: np.ndarray, ids: np.ndarray, n: np.ndarray, *columns: np.ndarr
     for s, size in zip(*map(np.ndarray.tolist, _lists(keys))):
         own = [c[s : s + size] for c in (n, *columns)]
         pairs += [(i + s, j + s) for i, j in _between(own[1 : 1 + words], own[0], own[1 + words], own[2 + words :]) if len(i)]
-    return _made(ids, pairs, [])
+    return _made(ids, pairs, [], columns[:words])
 
 
 def _pairs(of):
@@ -279,12 +280,12 @@ def _pairs(of):
 
 
 def _tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (a, b, hangs, x, y) with two SimHashes, (a, b, hangs, bits) where they share enough positional bytes, and differ in few enough bits."""
+    """Of pairs (a, b, x, y) with their SimHashes, those that share enough positional bytes, and differ in few enough bits."""
     for batch in batches:
-        differ = _prints(batch.column(3)) ^ _prints(batch.column(4))
-        shared, bits = (differ == 0).sum(axis=1), np.full(len(differ), WIDE + 1)
-        bits[shared >= MIN_SHARED] = np.bitwise_count(differ[shared >= MIN_SHARED]).sum(axis=1)
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(bits)], names=["a", "b", "hangs", "bits"]).filter(pa.array(bits <= WIDE))
+        differ = _prints(batch.column(2)) ^ _prints(batch.column(3))
+        passed = (differ == 0).sum(axis=1) >= MIN_SHARED
+        passed[passed] = np.bitwise_count(differ[passed]).sum(axis=1) <= WIDE
+        yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(passed))
 
 
 def mark(text: Column) -> Column:
@@ -345,20 +346,19 @@ def labels(docs: DataFrame, sets: DataFrame, key: str, text: str) -> DataFrame:
     schema = "key int, id long, n int, " + ", ".join(f"{h} long" for h in heads)
 
     def dealt(rows: DataFrame, of, name: str) -> DataFrame:
-        return scratch.written(rows.repartition(parts, "key").sortWithinPartitions("key", "n", "id").mapInArrow(_pairs(of), "a long, b long, key int"), name)
+        return scratch.written(rows.repartition(parts, "key").sortWithinPartitions("key", "n", "id").mapInArrow(_pairs(of), "a long, b long, key int, bits int"), name)
 
     def tallied(pairs: DataFrame, name: str) -> DataFrame:
         prints = sets.select("id", "print")
-        both = pairs.join(prints.toDF("a", "x"), "a").join(prints.toDF("b", "y"), "b").select("a", "b", "hangs", "x", "y")
-        return scratch.written(both.mapInArrow(_tallied, "a long, b long, hangs boolean, bits long"), name)
+        both = pairs.join(prints.toDF("a", "x"), "a").join(prints.toDF("b", "y"), "b").select("a", "b", "x", "y")
+        return scratch.written(both.mapInArrow(_tallied, "a long, b long"), name)
 
     listed = sets.select("id", "n", "print").mapInArrow(_listed, schema)
     found = dealt(listed, _first, "candidates")
-    near = tallied(found.where("b IS NOT NULL").select("a", "b", F.col("key").isNotNull().alias("hangs")).distinct(), "candidates_tallied")
     # A set hangs at one other in each of its dense lists, of which there are BYTES at most.
-    closest = near.where("hangs").groupBy("a").agg(F.slice(F.array_sort(F.collect_list(F.struct("bits", "b"))), 1, HUBS).alias("at"))
+    closest = found.where("key IS NOT NULL AND b IS NOT NULL").groupBy("a").agg(F.slice(F.array_sort(F.collect_set(F.struct("bits", "b"))), 1, HUBS).alias("at"))
     closest = closest.select("a", F.explode("at.b").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = scratch.written(near.where("NOT hangs").select("a", "b").union(closest).distinct(), "candidates_first")
+    pairs = tallied(found.where("key IS NULL").select("a", "b").union(closest).distinct(), "candidates_tallied")
     dense = scratch.written(found.where("key IS NOT NULL").select("key", F.col("a").alias("id")), "near_dense")
     # Whoever is in a second pair is in a dense list, so these are all the sets that are needed.
     shingled = _sets_of(docs, sets, pairs.select(F.explode(F.array("a", "b")).alias("id")).union(dense.select("id")).distinct(), key, text)
@@ -370,7 +370,7 @@ def labels(docs: DataFrame, sets: DataFrame, key: str, text: str) -> DataFrame:
     own = sets.select("id", "n", "print").mapInArrow(_headed, schema.replace("key int, ", "")).join(counted, "id").join(nodes.withColumnRenamed("node", "id"), "id", "left")
     members = dense.join(scratch.written(own.withColumn("label", F.coalesce("label", "id")), "near_members"), "id").select("key", "id", "n", *heads, "label", *_slots())
     between = dealt(members, _second, "candidates_between").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-    more = tallied(between.withColumn("hangs", F.lit(False)), "candidates_left").select("a", "b")
+    more = tallied(between, "candidates_left")
     if more.isEmpty():
         return nodes
     return components(links.union(scratch.written(_checked(shingled, more), "near_links_left")), "a", "b")
