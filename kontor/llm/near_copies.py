@@ -38,8 +38,10 @@ WORDS, LEAST = 5, (4, 5)
 BYTES = 96
 #: Positional bytes that two sets share at least, and bits in which they differ at most.
 MIN_SHARED, WIDE = 4, 192
-#: Bits that go with a set into its lists, and in how many of them a candidate differs at most.
-HEAD, HEAD_BITS = 128, 44
+#: Bits that go with a set into its lists, and in how many of them a candidate differs at most: a pair at 0.8 in more with a
+#: probability of 2e-10 (2e-6 for sets of four and five shingles).
+HEAD, HEAD_BITS = 256, 78
+HEADS = [f"head{i}" for i in range(HEAD // 64)]
 #: Edges of a set to the sets that it hangs at in dense lists, which are verified first; what they leave is compared afterwards.
 HUBS = 4
 #: Rows of lists that are compared at once.
@@ -120,9 +122,9 @@ def _heads(prints: np.ndarray) -> np.ndarray:
 
 
 def _headed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (id, n, print) to (id, n, head0, head1)."""
+    """Rows (id, n, print) to (id, n, heads)."""
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([*batch.columns[:2], *map(pa.array, _heads(_prints(batch.column(2))))], names=["id", "n", "head0", "head1"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], *map(pa.array, _heads(_prints(batch.column(2))))], names=["id", "n", *HEADS])
 
 
 def hashed(docs: DataFrame, *others: str, text: str = "text") -> DataFrame:
@@ -143,14 +145,14 @@ def hashed(docs: DataFrame, *others: str, text: str = "text") -> DataFrame:
 
 
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (id, n, print) to (key, id, n, head0, head1), one for each list; the empty set is in none, it equals only itself."""
+    """Rows (id, n, print) to (key, id, n, heads), one for each list; the empty set is in none, it equals only itself."""
     for batch in batches:
         batch = batch.filter(pa.array(batch.column(1).to_numpy() > 0))
         if batch.num_rows:
             prints = _prints(batch.column(2))
             whole = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), *_heads(prints)]
             for rows in np.array_split(np.arange(batch.num_rows), -(-batch.num_rows // 256)):
-                yield pa.RecordBatch.from_arrays([pa.array(list_keys(prints[rows]).reshape(-1)), *(pa.array(np.repeat(c[rows], BYTES)) for c in whole)], names=["key", "id", "n", "head0", "head1"])
+                yield pa.RecordBatch.from_arrays([pa.array(list_keys(prints[rows]).reshape(-1)), *(pa.array(np.repeat(c[rows], BYTES)) for c in whole)], names=["key", "id", "n", *HEADS])
 
 
 def _close(heads: list[np.ndarray], i: np.ndarray | int, j: np.ndarray | slice) -> np.ndarray:
@@ -342,8 +344,7 @@ def _counted(found: DataFrame, ids: DataFrame) -> DataFrame:
 def labels(docs: DataFrame, sets: DataFrame, key: str, text: str) -> DataFrame:
     """(node, label): components of `sets` that have a near copy. sets: a table (id, n, print, best), best being the row of each."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    heads = [f"head{i}" for i in range(HEAD // 64)]
-    schema = "key int, id long, n int, " + ", ".join(f"{h} long" for h in heads)
+    schema = "key int, id long, n int, " + ", ".join(f"{h} long" for h in HEADS)
 
     def dealt(rows: DataFrame, of, name: str) -> DataFrame:
         return scratch.written(rows.repartition(parts, "key").sortWithinPartitions("key", "n", "id").mapInArrow(_pairs(of), "a long, b long, key int, bits int"), name)
@@ -368,7 +369,7 @@ def labels(docs: DataFrame, sets: DataFrame, key: str, text: str) -> DataFrame:
         return nodes
     counted = scratch.written(_counted(shingled, dense.select("id").distinct()), "near_slots")
     own = sets.select("id", "n", "print").mapInArrow(_headed, schema.replace("key int, ", "")).join(counted, "id").join(nodes.withColumnRenamed("node", "id"), "id", "left")
-    members = dense.join(scratch.written(own.withColumn("label", F.coalesce("label", "id")), "near_members"), "id").select("key", "id", "n", *heads, "label", *_slots())
+    members = dense.join(scratch.written(own.withColumn("label", F.coalesce("label", "id")), "near_members"), "id").select("key", "id", "n", *HEADS, "label", *_slots())
     between = dealt(members, _second, "candidates_between").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
     more = tallied(between, "candidates_left")
     if more.isEmpty():

@@ -134,6 +134,21 @@ def test_positional_bytes_reach_the_similarity(n):
     assert found.num_rows == 0
 
 
+@pytest.mark.parametrize("n", [45, 200])
+def test_sets_that_share_little_are_no_candidates(n):
+    """Of sets at a similarity of 0.25, few agree in the bits that go into the lists; of those at 0.8 of 4 and 5 shingles, all."""
+    rng = np.random.default_rng(n)
+    made = [rng.integers(0, 1 << 64, 2 * n, np.uint64) for _ in range(400)]
+    few = [rng.integers(0, 1 << 64, 5, np.uint64) for _ in range(2000)]
+
+    def close(a, b):
+        heads = near_copies._heads(near_copies.simhashes(a + b))
+        return near_copies._close(list(heads), np.arange(len(a)), np.arange(len(a), 2 * len(a)))
+
+    assert close([x[:n] for x in made], [x[n * 3 // 5 : n * 3 // 5 + n] for x in made]).mean() < 0.1
+    assert close([x[:4] for x in few], few).all()
+
+
 def test_lists_of_the_index():
     """A sparse list gives all its candidates; a dense one fewer than all, which connect its members, who are named."""
     rng = np.random.default_rng(2)
